@@ -39,7 +39,7 @@ def _filter_bits(n: int) -> int:
 
 def _probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two filter positions of each digest, taken from its own bytes."""
-    raw = np.frombuffer(keys.tobytes(), np.uint8).reshape(len(keys), -1)
+    raw = np.frombuffer(keys.tobytes(), np.uint8).reshape(len(keys), keys.dtype.itemsize)
     raw = np.pad(raw, ((0, 0), (0, max(0, 16 - raw.shape[1]))))
     words = np.ascontiguousarray(raw[:, :16]).view(np.uint64)
     mask = np.uint64(bits - 1)
@@ -179,7 +179,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def memtables(batches):
         return _memtables(batches, width, memtable_bytes, buckets)
 
-    def compact(key, batches):
+    def compact(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _compact(batches, width)
 
     runs = stage_table(narrow.mapInArrow(memtables, _RUNS), "runs", "kind")
