@@ -9,13 +9,37 @@ from partita.llm.chat_format import digests, format_chats, hostile_conversation
 from partita.llm.common import table
 from partita.llm.decontaminate import contamination
 from partita.llm.exact_dedup import exact_dedup
+from partita.llm.license_scan import license_scan
+from partita.llm.license_scan import oracle as license_oracle
 from partita.llm.mixing import mix_sources
+from partita.llm.ngram_join import ngram_components
+from partita.llm.quality import quality
+from partita.llm.toxicity import toxicity
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 to 2: bad, good but toxic, good; a document is selected if its grade is likely above 0."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade, 3)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentences", ",").alias("sentences"), "n_known", F.array_join("licenses", ",").alias("licenses"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digests(format_chats(given.unionByName(hostile_conversation(spark))))
@@ -32,13 +56,31 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLES = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+          SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, least(len(w), 1) + 1)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM w
+        ), t AS (SELECT doc_id, unnest(s) AS t FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM t a JOIN t b USING (t) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (
+          SELECT c.a, c.b FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b
+          WHERE 100 * c.n >= 80 * (len(x.s) + len(y.s) - c.n)
+        ), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id FROM s JOIN r USING (doc_id) GROUP BY ALL
+    """,
     "op5_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents
@@ -47,6 +89,7 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM n JOIN g USING (plain)
     """,
+    "op7_license_scan": license_oracle(),
     "op8_chat_format": r"""
         WITH c AS (
           SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
