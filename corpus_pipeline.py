@@ -1,8 +1,80 @@
-"""Toxicity, exact and near duplicates, benchmark passages and the source mix, in stages."""
+"""Corpus pipeline: toxicity, exact and near duplicates, benchmark passages, source mix.
 
-STAGES: list = []
+Each stage takes ``(spark, docs, sf_dir)``, works on all documents its
+predecessor kept, and drops what its operator rejects; all but the last return
+the columns of ``documents``. ``run`` writes each stage as Parquet into the
+shared folder and hands what it reads back to the next.
+
+Rows are told apart by ``doc_id``: rows that repeat an identifier share its
+fate, except that exact duplicates of one another become one row. Rows without
+an identifier pass the filters unless their text alone decides (toxicity).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from partita.llm.common import table
+from partita.llm.decontaminate import contamination
+from partita.llm.exact_dedup import exact_dedup
+from partita.llm.mixing import mix_sources
+from partita.llm.ngram_join import ngram_components
+from partita.llm.toxicity import toxicity
+from partita.session import stage_table
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``rejected``; columns as they are."""
+    return docs.join(rejected.select(F.col("doc_id").alias("__rejected")).distinct(), F.col("doc_id") == F.col("__rejected"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier (learnt from ``labels``) predicts as toxic go."""
+    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays, and of rows that repeat it one row."""
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = exact_dedup(docs).where("kept").select(F.concat_ws(":", identity, "text_sha256").alias("__key")).distinct()
+    plain = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")
+    keyed = docs.withColumn("__key", F.concat_ws(":", identity, F.sha2(plain, 256))).join(kept, "__key", "left_semi")
+    row = Window.partitionBy("__key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return keyed.withColumn("__row", F.row_number().over(row)).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one that names it, its smallest identifier."""
+    return _without(docs, ngram_components(docs).where("doc_id <> component_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by test passages go; all others stay as they are."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+]
+
+#: A trained classifier decides the first stage, which SQL can't express; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
+    return docs

@@ -15,7 +15,6 @@ all documents; spans of several blocks are merged by document.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -280,7 +279,3 @@ aggregate(array_sort(spans), cast(array() as array<struct<start:int,end:int>>),
      concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))),
      concat(a, array(x))))
 """
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -124,13 +124,13 @@ def oracle() -> str:
     return rf"""
         WITH known(plain, id) AS (VALUES {ids}),
         s AS (
-          SELECT doc_id, unnest(x) AS said, generate_subscripts(x, 1) AS at
+          SELECT doc_id, unnest(x) AS said, generate_subscripts(x, 1) AS place
           FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.!?])[\x20\t\x0B\f\r]+', '\1' || chr(10), 'g'), '\n') AS x FROM documents)
         ), k AS (
-          SELECT doc_id, at, id FROM s JOIN known ON trim(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g')) = plain
+          SELECT doc_id, place, id FROM s JOIN known ON trim(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g')) = plain
         ), p AS (
           SELECT d.doc_id, coalesce(g.ids, '') AS sentences, coalesce(g.n, 0) AS n_known, ',' || coalesce(g.ids, '') || ',' AS path
-          FROM documents d LEFT JOIN (SELECT doc_id, string_agg(id, ',' ORDER BY at) AS ids, count(*) AS n FROM k GROUP BY doc_id) g USING (doc_id)
+          FROM documents d LEFT JOIN (SELECT doc_id, string_agg(id, ',' ORDER BY place) AS ids, count(*) AS n FROM k GROUP BY doc_id) g USING (doc_id)
         )
         SELECT doc_id, sentences, n_known,
           array_to_string(list_sort(list_distinct(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL))), ',') AS licenses

@@ -14,6 +14,8 @@ and exact prefix sums run inside each range only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def mix_sources(
     max_epochs: float = MAX_EPOCHS,
     weights: tuple[int, ...] = WEIGHTS,
     salt: str = "mix",
-    rows_per_range: int = 50_000,
+    rows_per_range: int | None = None,
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, epochs, taken`` for every row.
 
@@ -91,7 +93,9 @@ def mix_sources(
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), (-F.log(uniform(F.col(id_col), salt)) / quality).alias("key"))
     sized = stage_table(sized, "sizes")
     targets = source_targets(sized, budget_share, max_epochs, weights)
-    ranges = max(1, sized.count() // rows_per_range)
+    # By default as many ranges as rows in a range: neither a range nor the list of ranges grows with the whole.
+    rows = sized.count()
+    ranges = max(1, rows // (rows_per_range or max(1000, math.isqrt(rows))))
     # -ln(u)/w falls like an exponential of rate about w <= 1.1; exp(-key) spreads it over the ranges.
     cut = F.least((F.floor((1 - F.exp(-F.col("key"))) * ranges)).cast("int"), F.lit(ranges - 1))
     keyed = sized.withColumn("cut", cut)

@@ -9,10 +9,12 @@ from partita.llm.chat_format import digests, format_chats, hostile_conversation
 from partita.llm.common import table
 from partita.llm.decontaminate import contamination
 from partita.llm.exact_dedup import exact_dedup
+from partita.llm.html_extract import extract_pages
 from partita.llm.license_scan import license_scan
 from partita.llm.license_scan import oracle as license_oracle
 from partita.llm.mixing import mix_sources
 from partita.llm.ngram_join import ngram_components
+from partita.llm.pii import KINDS, find_personal_data
 from partita.llm.quality import quality
 from partita.llm.toxicity import toxicity
 
@@ -25,6 +27,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.col("counts")[k].alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades 0 to 2: bad, good but toxic, good; a document is selected if its grade is likely above 0."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
@@ -35,6 +43,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("sentences", ",").alias("sentences"), "n_known", F.array_join("licenses", ",").alias("licenses"))
@@ -58,8 +70,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
+    "op3_personal_data": op3_personal_data,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_extract": op6_html_extract,
     "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
