@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def md5_bucket(salt: str, key: Column) -> Column:
@@ -20,19 +21,19 @@ def md5_rank(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blake2b_hex16(text: pd.Series) -> pd.Series:
     """Hex of 128 bits; apply it to distinct values only."""
     return text.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=16).hexdigest())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blake2b_hex8(text: pd.Series) -> pd.Series:
     """Hex of 64 bits; its order as text is the order of the big-endian number."""
     return text.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def blake2b_unit(text: pd.Series) -> pd.Series:
     """The 64-bit digest as a big-endian number over 2**64."""
     return text.map(lambda x: None if x is None else int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") / 2**64)
@@ -56,7 +57,7 @@ def content_key(prefix: str, text: Column, hash_name: str = "md5") -> Column:
     return F.concat(F.lit(prefix), digest)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON text with sorted keys, compact separators and ASCII escapes."""
     return text.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":")))

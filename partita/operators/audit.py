@@ -43,7 +43,7 @@ def last_label(rows: DataFrame, group: str, label: str, order: str) -> DataFrame
 def coverage(rows: DataFrame, split: str, family: str, entry: str = "entry_id") -> DataFrame:
     """Entries, classified ones and distinct families by split; null families are unclassified."""
     per = rows.groupBy(split, entry).agg(F.count(family).alias("k"))
-    entries = per.groupBy(split).agg(F.count("*").alias("entries"), F.count_if("k > 0").alias("classified"))
+    entries = per.groupBy(split).agg(F.count("*").alias("entries"), F.count_if(F.col("k") > 0).alias("classified"))
     kinds = rows.groupBy(split).agg(F.countDistinct(family).alias("families"))
     return entries.join(kinds, split).withColumn("unclassified", F.col("entries") - F.col("classified"))
 

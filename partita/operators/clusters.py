@@ -65,10 +65,12 @@ def entry_flags(keyed: DataFrame) -> DataFrame:
 def families(structural: Column, domains: Column, authorities: tuple[str, ...]) -> Column:
     """Families of the authorities; several authorities are told apart by a prefix."""
     none = F.array().cast("array<string>")
-    parts = []
-    for a in authorities:
+
+    def of(a: str) -> Column:
         held = F.coalesce(F.try_element_at(structural if a in STRUCTURAL else domains, F.lit(a)), none)
-        parts.append(F.transform(held, lambda f, a=a: F.concat(F.lit(f"{a}:"), f)) if len(authorities) > 1 else held)
+        return F.transform(held, lambda f: F.concat(F.lit(f"{a}:"), f)) if len(authorities) > 1 else held
+
+    parts = [of(a) for a in authorities]
     return F.array_distinct(F.concat(*parts)) if parts else none
 
 

@@ -49,10 +49,12 @@ def _sorted_set(column: Column) -> Column:
 
 def _family_map(annotations: Column, named: dict[str, tuple[str, str]]) -> Column:
     """Authority to its sorted families; authorities without any are left out."""
-    pairs = []
-    for name, (kind, field) in named.items():
-        held = F.transform(F.filter(annotations, lambda a, kind=kind, field=field: (a["type"] == kind) & (F.coalesce(a[field], F.lit("")) != "")), lambda a, field=field: a[field])
-        pairs.append(F.struct(F.lit(name).alias("key"), _sorted_set(held).alias("value")))
+
+    def of(name: str, kind: str, field: str) -> Column:
+        held = F.filter(annotations, lambda a: (a["type"] == kind) & (F.coalesce(a[field], F.lit("")) != ""))
+        return F.struct(F.lit(name).alias("key"), _sorted_set(F.transform(held, lambda a: a[field])).alias("value"))
+
+    pairs = [of(name, *which) for name, which in named.items()]
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.size(p["value"]) > 0))
 
 
