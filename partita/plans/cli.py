@@ -1,4 +1,4 @@
-"""Command line: build, resplit, verify, stats and spec over a snapshot of entries."""
+"""Command line: build, resplit, verify, stats, spec, init and fetch over a snapshot of entries."""
 
 from __future__ import annotations
 
@@ -11,10 +11,14 @@ from pyspark.sql import SparkSession
 
 from partita.config import load_config, widening
 from partita.plans.build import LOCK, MANIFEST, resolve_registry, run_build, summary, verify, write_build
+from partita.plans.loader import Partition
+from partita.plans.wizard import run_init
+from partita.session import stage_table
 from partita.sources.documents import read_json
 from partita.sources.entries import count_entries, read_entries_jsonl, scan
+from partita.sources.fetch import fetch_files
 
-OK, DRIFT, BAD_INPUT, LEAK, INTERRUPTED = 0, 1, 2, 3, 130
+OK, DRIFT, BAD_INPUT, LEAK, REFUSED, FAILURES, INTERRUPTED = 0, 1, 2, 3, 5, 6, 130
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,14 +36,43 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("verify")
     p.add_argument("out")
     p.add_argument("entries")
+    p = sub.add_parser("init")
+    p.add_argument("template")
+    p.add_argument("out")
+    p = sub.add_parser("fetch")
+    p.add_argument("out")
+    p.add_argument("--split", choices=("train", "val", "test"))
+    p.add_argument("--yes", action="store_true", help="fetch more than a thousand files")
     for name in ("stats", "spec"):
         sub.add_parser(name).add_argument("path")
     return out
 
 
-def main(argv: list[str] | None = None) -> int:
+def run_fetch(spark: SparkSession, args: argparse.Namespace, transport) -> int:
+    """Fetch a partition's files through ``transport(url) -> bytes`` into its folder and index them."""
+    splits = spark.read.parquet(str(Path(args.out) / "entries.splits"))
+    splits = splits.where(splits["split"] == args.split) if args.split else splits
+    if transport is None or not args.yes and splits.count() > 1000:
+        print("no transport" if transport is None else "more than a thousand files: say --yes", file=sys.stderr)
+        return REFUSED
+    root = Path(args.out)
+
+    def put(path: str, body: bytes) -> None:
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(body)
+
+    there = [(str(p.relative_to(root)),) for p in root.glob("structures/**/*.gz")]
+    got = stage_table(fetch_files(splits, spark.createDataFrame(there, "path string"), transport, put, "https://files.example.org"), "fetched")
+    Partition(spark, root).index(got.where("error is null")).write.mode("overwrite").parquet(str(root / "index"))
+    return FAILURES if got.where("error is not null").count() else OK
+
+
+def main(argv: list[str] | None = None, transport=None) -> int:
     args = parser().parse_args(argv)
     try:
+        if args.command == "init":
+            run_init(Path(args.template).read_text(encoding="utf-8"), args.out)
+            return OK
         if args.command == "spec":
             print(json.dumps(load_config(args.path).to_spec(), indent=2, sort_keys=True))
             return OK
@@ -50,6 +83,8 @@ def main(argv: list[str] | None = None) -> int:
 
             print(summary(manifest, from_dict(lock["config"])))
             return OK
+        if args.command == "fetch":
+            return run_fetch(spark, args, transport)
         entries = read_entries_jsonl(spark, args.entries)
         if args.command == "verify":
             code, report = verify(entries, read_json(Path(args.out) / LOCK))

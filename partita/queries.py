@@ -19,6 +19,7 @@ from partita.functions.hashing import md5_bucket
 from partita.operators import assign, audit, leakage, sampling
 from partita.operators.clusters import components_of
 from partita.operators.filters import Rule, drop_histogram, split_by_rules, with_drop_reason
+from partita.operators.radius import radius_join
 from partita.operators.tiers import conditioning_targets, ladder, tier_histogram
 from partita.session import stage_table
 
@@ -616,6 +617,13 @@ def split_fingerprint(spark, sf_dir):
     return grouped.select("split", "n", F.sha2("body", 256).alias("sha256"))
 
 
+@query("""SELECT s.id AS id, c.id AS r_id FROM (SELECT s_suppkey AS id, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier) s
+  JOIN (SELECT c_custkey AS id, c_acctbal / 100 AS x, c_nationkey::DOUBLE AS y FROM customer) c ON sqrt((s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y)) <= 2.5""")
+def radius_pairs(spark, sf_dir):
+    point = lambda t, k, p: table(spark, sf_dir, t).select(F.col(k).alias("id"), (F.col(f"{p}_acctbal") / 100).alias("x"), F.col(f"{p}_nationkey").cast("double").alias("y"))
+    return radius_join(point("supplier", "s_suppkey", "s"), point("customer", "c_custkey", "c"), ("x", "y"), 2.5).select("id", "r_id")
+
+
 @query("""WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey AS entry_id, l_partkey AS raw_key FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size = 1),
   st AS (SELECT entry_id AS a, min(entry_id) OVER (PARTITION BY raw_key) AS b FROM k), ed AS (SELECT a, b FROM st WHERE a <> b UNION SELECT b, a FROM st WHERE a <> b),
   re(entry_id, other) AS (SELECT DISTINCT entry_id, entry_id FROM k UNION SELECT re.entry_id, ed.b FROM re JOIN ed ON ed.a = re.other),

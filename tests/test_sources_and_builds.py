@@ -163,3 +163,29 @@ def test_growth_keeps_prior_splits(spark):
     assert ("k1", "test") in rows(start)
     merged = grow(first.union(spark.createDataFrame([("C", "k1"), ("C", "k2")], "entry_id string, raw_key string")), start, fractions, "s")
     assert rows(merged) == [("k1", "test"), ("k2", "test")]
+
+
+def test_fetch_command(spark, tmp_path):
+    import gzip
+
+    spark.createDataFrame([("1ABC", "k", "test"), ("2XYZ", "m", "train")], "entry_id string, component string, split string").write.parquet(str(tmp_path / "entries.splits"))
+    spark.createDataFrame([], "entry_id string, classes array<string>, tiers map<string,string>").write.parquet(str(tmp_path / "entries.classes"))
+    spark.createDataFrame([], "entry_id string, class string, comp_id string, tier string, reason string").write.parquet(str(tmp_path / "targets"))
+    assert cli.main(["fetch", str(tmp_path)]) == cli.REFUSED
+    assert cli.main(["fetch", str(tmp_path), "--split", "test"], transport=lambda url: gzip.compress(b"x")) == 0
+    assert (tmp_path / "structures/test/ab/1abc.cif.gz").exists() and spark.read.parquet(str(tmp_path / "index")).count() == 1
+    assert cli.main(["fetch", str(tmp_path)], transport=lambda url: b"junk") == cli.FAILURES
+
+
+def test_settings_are_rewritten_in_place(tmp_path):
+    from partita.plans import progress, wizard
+
+    text = "# head\nresolution_max_A: 3.5  # loosest\nsplit_fractions: {}\nsplit_strategy: hash\nstructural_clustering: off\nsplit_salt: x\n"
+    assert wizard.rewrite(text, {"resolution_max_A": 3.0}).splitlines()[:2] == ["# head", "resolution_max_A: 3.0  # loosest"]
+    with pytest.raises(ValueError):
+        wizard.rewrite(text, {"other": 1})
+    said = iter(["-1", "2.5", "", "best", "balanced", "", "salty"])
+    out = wizard.run_init(text, tmp_path / "c.yaml", lambda q: next(said)).read_text()
+    assert "resolution_max_A: 2.5  # loosest" in out and 'split_strategy: "balanced"' in out and 'split_salt: "salty"' in out
+    assert progress.duration(59) == "59s" and progress.duration(61) == "1m01s" and progress.duration(7260) == "2h01m" and progress.progress_line(1, 2, 10) == "1/2 (50.0 %) in 10s, 10s left"
+    assert "| test | 1 | 1 | 1 |" in progress.dataset_card({"dataset_version": "v", "config_hash": "h", "counts": {"test": {"entries": 1, "components": 1, "sequence_groups": 1}}})
