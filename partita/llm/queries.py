@@ -127,6 +127,24 @@ ORACLES = {
             AND (after IS NOT NULL OR role = 'assistant')) AS valid
         FROM t GROUP BY conv_id
     """,
+    "op9_decontaminate": r"""
+        WITH i AS (
+          SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), iw AS (
+          SELECT DISTINCT item_id, n, array_to_string(w[p:p+n-1], ' ') AS s
+          FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT *, least(13, len(w)) AS n FROM i) WHERE n > 0)
+        ), d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), dw AS (
+          SELECT doc_id, p, n, array_to_string(w[p:p+n-1], ' ') AS s
+          FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+        ), h AS (SELECT doc_id, p, dw.n, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.n = iw.n),
+        c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY 1),
+        g AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM h GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+          coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id)
+    """,
     "op10_mix_sources": r"""
         WITH RECURSIVE d AS (
           SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
