@@ -12,12 +12,19 @@ documents) and differ in how they order tokens of one class:
 2. Pairs that share a list must also share a prefix token under the second and
    the third order; only the intersection is verified on the whole sets.
 
+Whole sets are fetched for few documents only: each set has a bitmap of a few
+bits a token, which bounds how much two sets can share, and a pair whose bound
+is too low ends there.
+
 Lists of near copies hold the same sets over and over, so pairs are never
-enumerated freely. First every member is verified against a few leaders of its
-list (a linear number of pairs), and verified links are merged to components.
-After that only pairs of different components remain. Short lists name theirs;
-long lists are cut into blocks, and each pair of blocks is compared in one task
-through an inverted index that emits links only, at most one for each merge.
+enumerated freely. Lists of a few members name their pairs. In longer ones
+every member is paired with a few leaders only, a linear number, and verified
+links are merged to components; after that only pairs of different components
+can matter. Long lists that share members are gathered, so that each set is
+looked at once however many lists it is in, and what is left of a gathering
+beside its largest component is compared block by block: each task bounds,
+filters and verifies the pairs of two blocks and emits links only, one for each
+merge, so what comes out never exceeds the number of sets.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ _BLOCKS = 64
 _ORDERS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Members of a list up to which its pairs are named, and members of a block beyond that.
-SHORT_LIST, BLOCK = 48, 1024
+SHORT_LIST, BLOCK = 16, 1024
 LEADERS = 3
 
 # --- shingles -----------------------------------------------------------------------------------
@@ -142,24 +149,51 @@ def linked(a: np.ndarray, b: np.ndarray, classes: np.ndarray, percent: int) -> b
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each token, four bits or more of room for each; a power of two, so that bitmaps can be folded."""
+    room = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(room, bool)
+    bits[((tokens >> np.uint64(30)) & np.uint64(room - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    """False only if the bitmaps prove that sets of n and m tokens don't link: a bit of one alone is a token of it alone."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    shared = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * shared >= percent * (n + m - shared)
+
+
 # --- passes over the documents ------------------------------------------------------------------
 
-_SETS = "kind int, doc_id long, n long, sid long, block int, counts binary"
+_SETS = "kind int, doc_id long, n long, sid long, block int, packed binary"
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Each document's set identifier and size, then this task's share of the sketch."""
-    names, kinds = ["kind", "doc_id", "n", "sid", "block", "counts"], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    """Each document's set identifier, size and bitmap (once a task), then this task's share of the sketch."""
+    names, kinds = ["kind", "doc_id", "n", "sid", "block", "packed"], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def rows(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     counts = np.zeros(SKETCH, np.uint32)
+    seen: set[int] = set()
     for batch in batches:
-        sizes, ids, pending, held = [], [], [], 0
+        sizes, ids, bits, pending, held = [], [], [], [], 0
         for tokens in shingle_sets(texts(batch.column(1)), width):
+            sid = set_id(tokens) if len(tokens) else None
             sizes.append(len(tokens))
-            ids.append(set_id(tokens) if len(tokens) else None)
+            ids.append(sid)
+            bits.append(None if sid is None or sid in seen else bitmap(tokens))
+            if sid is None or sid in seen:
+                continue
+            seen.add(sid)
             pending.append(tokens)
             held += len(tokens)
             if held > SKETCH // 4:
@@ -167,7 +201,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
                 pending, held = [], 0
         _count(counts, pending)
         n = len(sizes)
-        yield rows([0] * n, batch.column(0), sizes, ids, [None] * n, [None] * n)
+        yield rows([0] * n, batch.column(0), sizes, ids, [None] * n, bits)
     # What one task saw of a counter is told up to 255; more can't change a prefix's place.
     told = np.minimum(counts, 255).astype(np.uint8).reshape(_BLOCKS, -1)
     some = [k for k in range(_BLOCKS) if told[k].any()]
@@ -187,14 +221,14 @@ def _classes(sketches: DataFrame) -> np.ndarray:
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH // _BLOCKS, np.int64)
         for batch in batches:
-            for piece in batch.column("counts").to_pylist():
+            for piece in batch.column("packed").to_pylist():
                 total += np.frombuffer(zlib.decompress(piece), np.uint8)
         classes = np.floor(np.log2(total + 1)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["block", "packed"])
 
     out = np.zeros((_BLOCKS, SKETCH // _BLOCKS), np.uint8)
-    for row in sketches.select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
-        out[row["block"]] = np.frombuffer(row["counts"], np.uint8)
+    for row in sketches.select("block", "packed").groupBy("block").applyInArrow(add, "block int, packed binary").collect():
+        out[row["block"]] = np.frombuffer(row["packed"], np.uint8)
     return out.reshape(-1)
 
 
@@ -275,6 +309,19 @@ def _held(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray) ->
 # --- pairs --------------------------------------------------------------------------------------
 
 
+def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Of named pairs ``(a, b)``, those whose bitmaps don't rule the link out."""
+    left = bits.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
+    right = bits.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            yield batch.select([0, 1]).filter(pa.array([may_link(x, n, y, m, percent) for n, x, m, y in rows], pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, held: DataFrame, classes: Broadcast, percent: int) -> DataFrame:
     """Of named pairs ``(a, b)``, those that link."""
     left = held.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
@@ -290,24 +337,25 @@ def _verified(pairs: DataFrame, held: DataFrame, classes: Broadcast, percent: in
 
 
 def _named(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in short lists."""
+    """All pairs of short lists whose sizes allow a link."""
     for batch in batches:
         out: set[tuple[int, int]] = set()
         for members in batch.column(0).to_pylist():
             for i, p in enumerate(members):
                 for q in members[:i]:
-                    if p["comp"] != q["comp"] and 100 * min(p["n"], q["n"]) >= percent * max(p["n"], q["n"]):
+                    if 100 * min(p["n"], q["n"]) >= percent * max(p["n"], q["n"]):
                         out.add((min(p["sid"], q["sid"]), max(p["sid"], q["sid"])))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
 
 
-def block_links(sids: list[int], comps: list[int], sides: list[int], sets: list[np.ndarray], classes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between members of different components, one for each merge.
+def block_links(sids: np.ndarray, comps: np.ndarray, sides: np.ndarray, bits: list[bytes], sets: list[np.ndarray], classes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, one for each merge of two.
 
     ``sides`` are 0 and 1 for the two blocks of a pair (all 0: one block with
-    itself). A member is looked up in inverted indexes of the other block's
-    prefixes under the second and third order; the whole sets of those found in
-    both are counted through a third index.
+    itself). A member is bounded against all others at once, by bitmaps of one
+    size (those of the next larger size folded); what passes is verified by the
+    second and third order and on the whole sets, unless a link made meanwhile
+    has joined the two.
     """
     parent: dict[int, int] = {}
 
@@ -317,64 +365,80 @@ def block_links(sids: list[int], comps: list[int], sides: list[int], sets: list[
             c = parent[c]
         return c
 
-    def indexed(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        token = np.concatenate(pieces)
-        owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-        order = np.argsort(token, kind="stable")
-        return token[order], owner[order]
-
-    def counts(index: tuple[np.ndarray, np.ndarray], tokens: np.ndarray, n: int) -> np.ndarray:
-        low, high = np.searchsorted(index[0], tokens), np.searchsorted(index[0], tokens, side="right")
-        length = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
-        return np.bincount(index[1][at], minlength=n)
-
-    one = [k for k, s in enumerate(sides) if s == 0]
-    other = [k for k, s in enumerate(sides) if s == 1] or one
-    second = indexed([prefix(sets[k], classes, 1, percent) for k in other])
-    third = indexed([prefix(sets[k], classes, 2, percent) for k in other])
-    whole = indexed([sets[k] for k in other])
-    size = np.array([len(sets[k]) for k in other])
-    tally: dict[int, int] = {}
-    for c in comps:
-        tally[c] = tally.get(c, 0) + 1
+    one, other = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    if not len(other):
+        other = one
     out = []
-    # The largest component of both sides needs no turn of its own against itself.
-    for k in sorted(one, key=lambda k: tally[comps[k]]):
-        mine, n = sets[k], len(sets[k])
-        apart = np.array([root(comps[j]) != root(comps[k]) for j in other])
-        near = (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & apart
-        if not near.any():
-            continue
-        near &= counts(second, prefix(mine, classes, 1, percent), len(other)) > 0
-        near &= counts(third, prefix(mine, classes, 2, percent), len(other)) > 0
-        if not near.any():
-            continue
-        shared = counts(whole, mine, len(other))
-        for j in np.flatnonzero(near & (100 * shared >= percent * (size + n - shared))):
-            a, b = root(comps[k]), root(comps[other[j]])
-            if a != b:
-                parent[a] = b
-                out.append((sids[k], sids[other[j]]))
+    width, sizes = np.array([len(b) for b in bits]), np.array([len(t) for t in sets])
+    for w in np.unique(width[one]):
+        mine = one[width[one] == w]
+        for v in np.unique(width[other]):
+            if max(v, w) > 2 * min(v, w):
+                continue  # sizes that differ so much can't link
+            theirs = other[width[other] == v]
+            x, y = _folded(bits, mine, min(v, w)), _folded(bits, theirs, min(v, w))
+            for row, k in zip(x, mine, strict=True):
+                n, m = sizes[k], sizes[theirs]
+                open_ = np.flatnonzero((comps[theirs] != comps[k]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))
+                if not len(open_):
+                    continue
+                only_mine = np.bitwise_count(row & ~y[open_]).sum(axis=1, dtype=np.int64)
+                only_theirs = np.bitwise_count(y[open_] & ~row).sum(axis=1, dtype=np.int64)
+                m = m[open_]
+                shared = np.minimum(n - only_mine, m - only_theirs)
+                near = 100 * shared >= percent * (n + m - shared)
+                for j in theirs[open_[near][np.argsort(-shared[near], kind="stable")]].tolist():
+                    a, b = root(int(comps[k])), root(int(comps[j]))
+                    if a != b and linked(sets[k], sets[j], classes, percent):
+                        parent[a] = b
+                        out.append((int(sids[k]), int(sids[j])))
     return out
 
 
-def _long_lists(rest: DataFrame, held: DataFrame, classes: Broadcast, percent: int) -> DataFrame:
-    """Links between components inside long lists, block against block."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    # A member meets the other members of its block once and every other block once.
-    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(F.col("mine"), x).alias("i"), F.greatest(F.col("mine"), x).alias("j")))
-    rows = rest.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("met", F.explode(met))
-    rows = rows.select("tok", "met.i", "met.j", "sid", "comp", (F.col("mine") != F.col("met.i")).cast("int").alias("side")).join(held, "sid")
+def _folded(bits: list[bytes], which: np.ndarray, width: int) -> np.ndarray:
+    rows = np.frombuffer(b"".join(bits[k] for k in which), np.uint8).reshape(len(which), -1)
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] | rows[:, half:]
+    return rows
+
+
+def _gathered(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(sid, comp, gather, main, n_main, n_rest)`` of the sets in long lists whose gathering has several components.
+
+    ``main`` says whether the set is in the gathering's largest component.
+    """
+    least = long.groupBy("tok").agg(F.min("sid").alias("a"))
+    gathers = connected_components(long.join(least, "tok").select("a", F.col("sid").alias("b")).distinct(), "a", "b")
+    rows = gathers.select(F.col("node").alias("sid"), F.col("component").alias("gather")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    rows = checkpointed(rows.select("sid", "gather", F.coalesce("component", "sid").alias("comp")))
+    sizes = rows.groupBy("gather", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("gather").agg(F.max(F.struct("c", "comp")).alias("x"), (F.sum("c") - F.max("c")).alias("n_rest")).where("n_rest > 0")
+    largest = largest.select("gather", F.col("x.comp").alias("top"), F.col("x.c").alias("n_main"), "n_rest")
+    return rows.join(largest, "gather").select("sid", "comp", "gather", (F.col("comp") == F.col("top")).alias("main"), "n_main", "n_rest")
+
+
+def _block_merges(gathered: DataFrame, bits: DataFrame, held: DataFrame, classes: Broadcast, percent: int) -> DataFrame:
+    """Links inside gatherings: the rest against the rest and against the main component, block against block."""
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK).cast("int"), F.lit(1))
+    at = F.when(F.col("main"), F.pmod(F.xxhash64("sid"), blocks("n_main"))).otherwise(F.pmod(F.xxhash64("sid"), blocks("n_rest"))).cast("int")
+    task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    rest_blocks = F.sequence(F.lit(0), blocks("n_rest") - 1)
+    against_rest = F.transform(rest_blocks, lambda x: task(0, F.least(F.col("at"), x), F.greatest(F.col("at"), x), F.col("at") != F.least(F.col("at"), x)))
+    against_main = F.transform(F.sequence(F.lit(0), blocks("n_main") - 1), lambda x: task(1, F.col("at"), x, F.lit(0)))
+    main_side = F.transform(rest_blocks, lambda x: task(1, x, F.col("at"), F.lit(1)))
+    rows = gathered.withColumn("at", at).withColumn("t", F.explode(F.when(F.col("main"), main_side).otherwise(F.concat(against_rest, against_main))))
+    sets = held.join(bits.select("sid", "bits"), "sid")
+    rows = rows.select("gather", "t.kind", "t.i", "t.j", "t.side", "sid", "comp").join(sets, "sid")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b.select(["sid", "comp", "side", "tokens"]).to_pydict() for b in batches]
-        column = {c: [x for g in got for x in g[c]] for c in ("sid", "comp", "side", "tokens")}
-        found = block_links(column["sid"], column["comp"], column["side"], [np.frombuffer(t, np.uint64) for t in column["tokens"]], classes.value, percent)
+        got = [b.select(["sid", "comp", "side", "bits", "tokens"]) for b in batches]
+        sid, comp, side = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in range(3))
+        bits_, sets_ = ([x for b in got for x in b.column(k).to_pylist()] for k in (3, 4))
+        found = block_links(sid, comp, side, bits_, [np.frombuffer(t, np.uint64) for t in sets_], classes.value, percent) if (side == 0).any() else []
         yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
-    return rows.groupBy("tok", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("gather", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -383,16 +447,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their
     sets of ``width``-word shingles (a shorter document is one shingle); a
     component is named by its smallest doc_id. Texts that are null or have no
-    words have no shingles and stand alone. A null identifier is returned as
-    such and names a component only if it stands alone. Repeated rows are equal
-    sets, hence one component. Other columns are ignored; an empty table gives
-    no rows. Sets are compared by 64-bit hashes of their shingles.
+    words have no shingles and stand alone. A row with a null identifier shares
+    the component of rows with its very set and is linked with no other.
+    Repeated rows are equal sets, hence one component. Other columns are
+    ignored; an empty table gives no rows. Sets are compared by 64-bit hashes
+    of their shingles.
     """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = stage_table(narrow.mapInArrow(lambda batches: _first_pass(batches, width), _SETS), "sets", "kind")
     sets = first.where("kind = 0").select("doc_id", "n", "sid")
+    bits = first.where("kind = 0 and packed is not null").select("sid", "n", F.col("packed").alias("bits"))
     classes = share(_classes(first.where("kind = 1")))
 
     tokens = sets.agg(F.sum("n")).first()[0] or 0
@@ -403,33 +469,38 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return _lists(batches)
 
     lists = stage_table(posted.groupBy("bucket").applyInArrow(lists_of, "tok long, sid long, n long, m long"), "lists")
-
     by_set = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    wanted = lists.select("sid").distinct()
-    bitmap = share(membership_bitmap(wanted.join(by_set, "sid").select("least"), "least"))
-    named = narrow.where("doc_id is not null")
-    found = named.mapInArrow(lambda batches: _held(batches, width, bitmap.value), "sid long, tokens binary")
-    held = stage_table(found.join(wanted, "sid").groupBy("sid").agg(F.min("tokens").alias("tokens")), "held")
 
-    # Every member of a list against a few leaders of it.
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """The whole sets of ``wanted(sid)``, made again from their documents."""
+        named = share(membership_bitmap(wanted.join(by_set, "sid").select("least"), "least"))
+        found = narrow.where("doc_id is not null").mapInArrow(lambda batches: _held(batches, width, named.value), "sid long, tokens binary")
+        return stage_table(found.join(wanted, "sid").groupBy("sid").agg(F.min("tokens").alias("tokens")), "held")
+
+    # One bitmap for each set that is in a list.
+    members = lists.select("sid").distinct()
+    bits = stage_table(bits.join(members, "sid").groupBy("sid", "n").agg(F.min("bits").alias("bits")), "bits")
+    short = lists.where(F.col("m") <= SHORT_LIST).groupBy("tok").agg(F.collect_list(F.struct("sid", "n")).alias("members")).select("members")
+    pairs = short.mapInArrow(lambda batches: _named(batches, percent), "a long, b long")
+
+    # Every member of a long list against a few leaders of it.
+    long = lists.where(F.col("m") > SHORT_LIST)
     salted = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "n")).alias(f"l{k}") for k in range(LEADERS)]
-    leaders = lists.groupBy("tok").agg(*salted).select("tok", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.sid", f"l{k}.n") for k in range(LEADERS)]))).alias("lead"))
+    leaders = long.groupBy("tok").agg(*salted).select("tok", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.sid", f"l{k}.n") for k in range(LEADERS)]))).alias("lead"))
     close = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-    stars = lists.join(leaders, "tok").where((F.col("sid") != F.col("lead.sid")) & close)
-    stars = stars.select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b")).distinct()
-    links = checkpointed(_verified(stars, held, classes, percent))
+    stars = long.join(leaders, "tok").where((F.col("sid") != F.col("lead.sid")) & close)
+    stars = stars.select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b"))
+    near = checkpointed(_bounded(pairs.unionByName(stars).distinct(), bits, percent))
+    held = fetched(near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid"))).distinct())
+    links = checkpointed(_verified(near, held, classes, percent))
     labels = checkpointed(connected_components(links, "a", "b"))
 
-    # Lists that still hold several components.
-    sorted_in = lists.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    open_ = sorted_in.groupBy("tok").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("tok")
-    rest = checkpointed(sorted_in.join(open_, "tok"))
-    short = rest.where(F.col("m") <= SHORT_LIST).groupBy("tok").agg(F.collect_list(F.struct("sid", "n", "comp")).alias("members")).select("members")
-    pairs = short.mapInArrow(lambda batches: _named(batches, percent), "a long, b long").distinct()
-    more = _verified(pairs, held, classes, percent).unionByName(_long_lists(rest.where(F.col("m") > SHORT_LIST), held, classes, percent))
-    more = checkpointed(more)
-    if not more.isEmpty():
-        labels = checkpointed(connected_components(links.unionByName(more), "a", "b"))
+    # What long lists still hold of several components.
+    gathered = checkpointed(_gathered(long, labels))
+    if not gathered.isEmpty():
+        more = checkpointed(_block_merges(gathered, bits, fetched(gathered.select("sid")), classes, percent))
+        if not more.isEmpty():
+            labels = checkpointed(connected_components(links.unionByName(more), "a", "b"))
 
     named_by = by_set.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
     smallest = named_by.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -8,7 +8,7 @@ from llm.data import AWKWARD, collected, docs
 
 from partita.llm import ngram_join
 from partita.llm.exact_dedup import exact_dedup
-from partita.llm.ngram_join import bitmap, block_pairs, linked, may_link, ngram_components, shingle_sets
+from partita.llm.ngram_join import bitmap, block_links, linked, may_link, ngram_components, shingle_sets
 
 
 def exact_by_hand(rows):
@@ -106,8 +106,9 @@ def test_bitmaps_never_rule_out_a_link():
         near = may_link(bitmap(a), len(a), bitmap(b), len(b), 80)
         assert near or not truth
         assert linked(a, b, classes, 80) == truth
-        sizes, sids, comps = np.array([len(a), len(b)]), np.array([1, 2]), np.array([1, 2])
-        assert bool(block_pairs(sids, comps, np.array([0, 0]), sizes, [bitmap(a), bitmap(b)], 80)) == near == bool(block_pairs(sids, comps, np.array([0, 1]), sizes, [bitmap(a), bitmap(b)], 80))
+        sids, comps = np.array([1, 2]), np.array([1, 2])
+        for sides in ([0, 0], [0, 1]):
+            assert bool(block_links(sids, comps, np.array(sides), [bitmap(a), bitmap(b)], [a, b], classes, 80)) == truth
         passed += near
     assert 100 < passed < 1400
 
