@@ -125,7 +125,7 @@ def fit(sample: list[bytes], label: list[int], epochs: int = 40, rate: float = 0
     """Embeddings and softmax trained jointly; deterministic."""
     y = np.array(label, np.float64)
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1.0)
+        share = (y.sum() + 0.5) / (len(y) + 2.0)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(7)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
@@ -199,7 +199,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Repeated rows get equal scores; a null identifier is held out or not as an
     empty string is. Labels other than 0 and 1 are ignored, of contrary labels
     of one identifier the larger counts; without labels of both classes every
-    text gets the share of label 1. Other columns are ignored.
+    text gets the smoothed share of label 1, 0.25 without any label, so that
+    nothing is rejected on no evidence. Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, id_col, text_col, label_col)))
 
