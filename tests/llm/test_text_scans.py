@@ -144,6 +144,9 @@ def test_page_lines():
         "<aside>Side</aside><table><tr><td>x<td>y</table><section id=comments><p>Nice</section><p>&eacute;nd &co"
     )
     assert h.page_lines(page) == [(x, True) for x in ("Head & tail", "One two three four", "x y", "énd &co")]
+    marked = "".join(f"<div {m}><p>x</p></div>" for m in ("id=siteFooter", "class='commentlist'", "class=leftMenu", "role=navigation", "class='article-comments'", "hidden", "class=AdBox"))
+    assert h.page_lines(f"<body>{marked}<div class='commentary post-header'>y</div>") == [("y", False)]
+    assert h.page_lines("<body><form id=f><p>All of it</p><nav>no</nav></form>") == [("All of it", False)]
     assert h.page_lines("") == [] and h.page_lines("<p>a</p") == [("a", False)] and h.page_lines("a < b & c") == [("a < b & c", False)]
 
 
