@@ -172,3 +172,14 @@ def test_url_keys():
     assert h.url_key("https://www.X.org:80/a/b.html?q#f") == ("x.org", "/a/b") == h.url_key("http://m.x.org/a/b/") and h.url_key(None) == ("", "")
     assert h.closeness("/a/b/c", "/a/b/d") > h.closeness("/a/b/c", "/a/x/c")
 
+
+
+def test_wrappers_and_attribute_values_are_no_frames():
+    story = "<p>A long story of the valley.</p>"
+    for m in ('style="overflow:hidden"', 'data-id="nav"', "title='class=menu'", 'class="has-sidebar"', "class=no-sidebar", 'class="with-banner"'):
+        assert h.page_lines(f"<body><div {m}>{story}</div>") == [("A long story of the valley.", False)], m
+    assert h.page_lines('<p>See <a href="/hidden-valley">the valley</a> now</p>') == [("See the valley now", False)]
+    assert h.page_lines(f'<div class="sidebar-left"><div class=menu>Home</div><article>{story}</article></div>') == [("A long story of the valley.", True)]
+    assert h.page_lines(f"<div id=banner>{story}</div><p>End</p>") == [("A long story of the valley.", False), ("End", False)]
+    assert h.page_lines(f"<article>{story}</article><div id=comments><article class=comment><p>{'Nice ' * 50}</p></article></div><div class=related><article>Next</article></div>") == [("A long story of the valley.", True)]
+    assert h.page_lines(f"<p>Short.</p><div id=comments>{story}</div>") == [("Short.", False)] and h.page_lines(f"<div hidden>{story}</div><p>x</p>") == [("x", False)]
