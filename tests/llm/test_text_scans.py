@@ -183,3 +183,19 @@ def test_wrappers_and_attribute_values_are_no_frames():
     assert h.page_lines(f"<div id=banner>{story}</div><p>End</p>") == [("A long story of the valley.", False), ("End", False)]
     assert h.page_lines(f"<article>{story}</article><div id=comments><article class=comment><p>{'Nice ' * 50}</p></article></div><div class=related><article>Next</article></div>") == [("A long story of the valley.", True)]
     assert h.page_lines(f"<p>Short.</p><div id=comments>{story}</div>") == [("Short.", False)] and h.page_lines(f"<div hidden>{story}</div><p>x</p>") == [("x", False)]
+
+
+def test_heavy_frames_are_deleted_and_copies_skipped(spark):
+    frame = "".join(f"<p>Frame line {k}</p>" for k in range(18))
+    page = lambda *said: frame + "".join(f"<p>{x}</p>" for x in said)
+    rows = [(k, f"http://heavy.org/a/{k}", page(f"First paragraph of {k}", f"Second of {k}")) for k in range(4)]
+    rows += [(10, "http://stub.org/a", page(*(f"Long article line {k}" for k in range(82)))), (11, "http://stub.org/b", page("Stub"))]
+    same = [f"The copied story goes on and on, part {k}" for k in range(20)]
+    rows += [(20 + k, f"http://run.org/p/{k}", page(*same, f"{k}")) for k in range(6)] + [(30, "http://run.org/q/1", page("Another story"))]
+    got = {r["page_id"]: r["text"] for r in h.extract_pages(pages(spark, rows).repartition(3)).collect()}
+    for k in range(4):
+        assert got[k] == f"First paragraph of {k}\nSecond of {k}"
+    assert got[10].split("\n") == [f"Long article line {k}" for k in range(82)] and got[11] == "Stub"
+    for k in range(6):
+        assert got[20 + k].split("\n") == [*same, str(k)]
+    assert got[30] == "Another story"
