@@ -10,13 +10,14 @@ together; occurrences are located by walking to sampled positions, turned into
 spans of document words and merged.
 
 The phrases are read in blocks of bounded size, each broadcast and run against
-all documents; spans of several blocks are merged by document.
+all documents. For several blocks the rows are numbered once and written, and
+spans are merged by row number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partita.llm.common import texts
+from partita.session import stage_table
 
 #: Bytes above, digits and lower-case letters stay; A-Z are lowered; all else ends a word.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -178,11 +180,12 @@ def _search_shard(codes: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray
     return doc, where - starts[doc], width, [x for f in found for x in f[2]]
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
-_HITS_SQL = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+_HITS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
+_HITS_SQL = "row long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
 def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int) -> Iterator[pa.RecordBatch]:
+    rows: list[int] = []
     ids: list = []
     codes: list[np.ndarray] = []
     size = 0
@@ -199,17 +202,18 @@ def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: in
                 own.append({"start": start, "end": start + int(width[k])})
             named[doc[k]].update(items[k])
         labels = [[phrases.ids[i] for i in x] for x in named]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(c) for c in codes], pa.int64()), pa.array(spans, _HITS.field(2).type), pa.array(labels, _HITS.field(3).type)], schema=_HITS)
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(c) for c in codes], pa.int64()), pa.array(spans, _HITS.field("spans").type), pa.array(labels, _HITS.field("items").type)], schema=_HITS)
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+        for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
             said = words_of(text)
+            rows.append(row)
             ids.append(doc)
             codes.append(np.fromiter(map(phrases.words.get, said, repeat(0)), np.int64, len(said)))
             size += len(said)
             if size >= shard_words:
                 yield search()
-                ids, codes, size = [], [], 0
+                rows, ids, codes, size = [], [], [], 0
     if ids:
         yield search()
 
@@ -245,17 +249,20 @@ def contamination(
     ``n_hit > 0 and 20 * n_hit >= n_words``.
 
     Null texts have no words. Null item ids are named ``""``; items that repeat
-    count once. Rows that repeat an identifier are kept apart while the test
-    items fit in one block of ``block_bytes`` and are merged by identifier and
-    number of words beyond that. Other columns are ignored; no documents give
+    count once. Rows that repeat an identifier or have none are reported one by
+    one, whatever the number of blocks. Other columns are ignored; no documents give
     no rows, no items give no hits.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     item = F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item")
     items = benchmark.select(item, F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).distinct()
     parts = []
-    for block in _blocks(items, block_bytes):
+    blocks = _blocks(items, block_bytes)
+    first = list(islice(blocks, 2))
+    if len(first) > 1:
+        narrow = stage_table(narrow, "rows")  # each pass must see the same numbers
+    for block in chain(first, blocks):
         shared = spark.sparkContext.broadcast(Phrases(block, window))
         parts.append(narrow.mapInArrow(lambda batches, shared=shared: _shards(batches, shared.value, shard_words), _HITS_SQL))
     if not parts:
@@ -265,7 +272,7 @@ def contamination(
     if len(parts) > 1:
         for part in parts[1:]:
             found = found.unionByName(part)
-        found = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         found = found.withColumn("spans", F.expr(_MERGE))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
     out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", F.array_sort(F.array_distinct("items")).alias("items"))

@@ -199,3 +199,9 @@ def test_heavy_frames_are_deleted_and_copies_skipped(spark):
     for k in range(6):
         assert got[20 + k].split("\n") == [*same, str(k)]
     assert got[30] == "Another story"
+
+
+def test_blocks_keep_rows_apart(spark):
+    rows = [(None, "one two three four", "s", "x"), (None, "x y z other", "s", "x"), (7, "one two three four", "s", "x"), (7, "a b c d", "s", "x"), (7, "a b c d", "s", "x")]
+    items = [(1, "one two"), (2, "y z"), (3, "three four")]
+    assert contamination(spark, rows, items, block_bytes=5)[0] == contamination_by_hand(rows, items)
