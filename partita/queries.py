@@ -632,3 +632,14 @@ def order_components(spark, sf_dir):
     parts = table(spark, sf_dir, "part").where("p_size = 1")
     keys = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("raw_key")).distinct()
     return assign.component_sizes(components_of(keys))
+
+
+@query("""WITH RECURSIVE k AS (SELECT DISTINCT l_orderkey AS entry_id, l_partkey AS raw_key FROM lineitem WHERE l_partkey IS NOT NULL AND l_orderkey IS NOT NULL),
+  l(raw_key, label, moved) AS (SELECT raw_key, raw_key, true FROM (SELECT DISTINCT raw_key FROM k)
+    UNION ALL SELECT raw_key, n, bool_or(n < label) OVER () FROM (SELECT l.raw_key, min(l.label) AS label, min(o.m) AS n FROM l JOIN k ON k.raw_key = l.raw_key
+      JOIN (SELECT k.entry_id, min(l.label) AS m FROM l JOIN k ON k.raw_key = l.raw_key GROUP BY 1) o ON o.entry_id = k.entry_id WHERE l.moved GROUP BY 1)),
+  c AS (SELECT raw_key, min(label) AS component FROM l GROUP BY 1) SELECT component, count(*) AS size FROM (SELECT k.entry_id, min(c.component) AS component FROM k JOIN c ON c.raw_key = k.raw_key GROUP BY 1) GROUP BY 1""")
+def order_components_all(spark, sf_dir):
+    """Components of all orders of ``lineitem`` that share parts; ``order_components`` takes parts of size 1 only."""
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("raw_key")).distinct()
+    return assign.component_sizes(components_of(keys))
