@@ -1,8 +1,11 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; a sentence is normalised (lower case, runs of
-anything but ASCII letters and digits to one space) and looked up among known
-licence sentences. The identifiers of the sentences recognised, in text order,
+A text is cut into sentences where white space follows ``.``, ``!`` or ``?``
+(not after "v."); a line's end cuts nothing, since licence texts are wrapped. A
+sentence is normalised (lower case, runs of anything but ASCII letters and
+digits to one space, with a sign where a line ends or a clause is set off), and
+known licence sentences are found in it from sign to sign, the longest first;
+signs inside of one don't count. The identifiers of the sentences recognised, in text order,
 are matched against rules, which are ordered sequences of identifiers. A rule
 matches where its sequence stands without another licence sentence in between;
 sentences that aren't known don't break it.
@@ -75,17 +78,40 @@ RULES = [
     *(((f"spdx-{x.lower()}",), x) for x in ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")),
 ]
 
-#: A sentence ends at a line's end, and after `.`, `!` or `?` before white space.
-SENTENCE_END = r"(?<=[.!?])[\x20\t\x0B\f\r]+|\n"
+#: Further forms of sentences in licence texts and notices as they are published; these and LATER are beyond the SQL.
+VARIANTS = {
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0 txt": "apache-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0 txt": "apache-copy",
+    "either version 2 of the license": "gpl-v2",
+    "either version 3 of the license": "gpl-v3",
+    "or at your option any later version": "gpl-later",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+}
+LATER = [(("gpl-free", v, "gpl-later", "gpl-hope", "gpl-copy"), n) for v, n in (("gpl-v2", "GPL-2.0-or-later"), ("gpl-v3", "GPL-3.0-or-later"))]
+
+#: A sentence ends at white space after `.`, `!` or `?`, but not after "v.".
+SENTENCE_END = r"(?<=[.!?])(?<!\b[vV]\.)[\x20\t\x0B\f\r\n]+"
+#: What an element is called before "is licensed under".
+_LEAD = r"\b((?:this|the) (?:code|software|project|program|file|package|library|module|repository|source code|document|work) is) (?=(?:; )*(?:licensed|released) under )"
 
 
 def known_sentences(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
+    known = {s: i for i, s in SENTENCES.items()} | VARIANTS
     # A sentence can only be known if it has one of these words; most have none.
-    sentences = F.filter(F.split(text, SENTENCE_END), lambda s: F.lower(s).rlike("licen|permi|warrant|right|publi|softw|redistrib|endorse|program|identif"))
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    names = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    return F.transform(F.filter(plain, lambda s: s.isin(list(SENTENCES.values()))), lambda s: F.element_at(names, s))
+    some = F.filter(F.split(text, SENTENCE_END), lambda s: F.lower(s).rlike("licen|permi|warrant|right|publi|softw|redistrib|endorse|program|identif|option"))
+
+    def signs(s: Column) -> Column:
+        s = F.regexp_replace(F.lower(s), "[^a-z0-9\\n;:,()\"\u201c\u201d]+", " ")
+        s = F.concat(F.lit("; "), F.trim(F.regexp_replace(s, "(?: ?[\\n;:,()\"\u201c\u201d])+ ?", " ; ")), F.lit(" ;"))
+        s = F.regexp_replace(s, _LEAD, "$1 ; ")
+        return F.regexp_replace(s, "neither the (?:; )?name (?:; )?of (?:[a-z0-9]+ |; ){1,20}?nor (?:; )?the (?:; )?names (?:; )?of (?:; )?its ", "neither the name of the copyright holder nor the names of its ")
+
+    forms = "|".join(x.replace(" ", " (?:; )?") for x in sorted(known, key=lambda x: (-len(x), x)))
+    found = F.flatten(F.transform(some, lambda s: F.regexp_extract_all(signs(s), F.lit(f"(?<=; )(?:{forms})(?= ;)"), F.lit(0))))
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.transform(found, lambda s: F.element_at(names, F.replace(s, F.lit("; "), F.lit(""))))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,9 +129,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.contains(F.col("path"), F.lit(f",{','.join(rule)},"))
 
     hits = []
-    for rule, name in RULES:
+    for rule, name in RULES + LATER:
         hit = stands(rule)
-        for longer, _ in RULES:
+        for longer, _ in RULES + LATER:
             if len(longer) > len(rule) and longer[: len(rule)] == rule:
                 hit &= ~stands(longer)
         hits.append(F.when(hit, F.lit(name)))

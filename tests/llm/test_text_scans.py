@@ -205,3 +205,61 @@ def test_blocks_keep_rows_apart(spark):
     rows = [(None, "one two three four", "s", "x"), (None, "x y z other", "s", "x"), (7, "one two three four", "s", "x"), (7, "a b c d", "s", "x"), (7, "a b c d", "s", "x")]
     items = [(1, "one two"), (2, "y z"), (3, "three four")]
     assert contamination(spark, rows, items, block_bytes=5)[0] == contamination_by_hand(rows, items)
+
+
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the Some University nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ *
+ * You should have received a copy of the GNU General Public License
+ * along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+
+
+def test_licence_texts_as_they_are_published(spark):
+    given = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + BSD3, "BSD-3-Clause"), (GPL, "GPL-3.0-or-later"), (MPL, "MPL-2.0"), ("This code is licensed under the MIT license.", "MIT"), ("x\r\nReleased under\r\nthe MIT License\r\ny", "MIT")]
+    got = {r["doc_id"]: (r["sentences"], r["licenses"]) for r in license_scan(docs(spark, [(k, t, "s", "x") for k, (t, _) in enumerate(given)])).collect()}
+    assert [got[k][1] for k in range(len(given))] == [[x] for _, x in given]
+    assert got[0][0] == ["apache-notice", "apache-use", "apache-copy"] and got[1][0] == ["mit-grant", "mit-keep", "as-is"]
