@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are the matches of strict rules for addresses, network addresses, card
-and telephone numbers. Every seed and every other token that holds a digit or
-an ``@`` is an *instance*, and each of its contexts a *pattern*: the word
-before or the word after it together with the shape of the token. Patterns and
+and telephone numbers. Seeds and candidates are *instances*; candidates are
+what could be personal data by a coarse type: groups of digits (spaces may
+part them), dotted or colon-parted groups, and names joined by ``@`` or "at".
+An instance's contexts are *patterns*: the word before or after it, or both,
+together with the coarse type. Patterns and
 instances form a bipartite graph that Spark scores in rounds: a pattern is as
 reliable as the share of its occurrences that are reliable instances of one
 kind, an instance as the most reliable pattern that has it. A pattern needs
@@ -15,7 +17,9 @@ own spans always stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -34,6 +38,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
+# The coarse types.
+_DIGITS = frozenset("0123456789")
+_GROUPS = re.compile(r"[+(]{0,2}[0-9](?:[\x20\xa0().\-/]{0,3}[0-9])+")
+_DOT = r"(?:\.|\x20?[\[(](?:\.|dot)[\])]\x20?|\x20dot\x20)"
+_DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
+_COLONS = re.compile(r"[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}")
+_AT = re.compile(r"@|\x20?[\[(]at[\])]\x20?|\x20at\x20", re.I)
+_NAME = re.compile(r"[\w.+%-]{1,64}\Z")
+_HOST = re.compile(rf"[\w-]{{1,63}}(?:{_DOT}[\w-]{{1,63}}){{1,6}}", re.I)
+
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -83,23 +97,28 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def shape(token: str) -> str:
-    """Digits with their number, runs of letters as one sign, other characters themselves; at most 40 characters."""
-    out = re.sub(r"[0-9]+", lambda m: f"9{{{len(m[0])}}}", token[:200])
-    return re.sub(r"[^\W\d_]+", "a", out)[:40]
+def coarse(text: str) -> str | None:
+    """The coarse type of a candidate: ``email``, ``ip``, ``number`` (7 to 19 digits) or nothing."""
+    if _AT.search(text):
+        return "email"
+    if _DOTTED.fullmatch(text) or _COLONS.fullmatch(text):
+        return "ip"
+    return "number" if 7 <= sum(c in _DIGITS for c in text) <= 19 and _GROUPS.fullmatch(text) else None
+
 
+def fits(kind: str, text: str) -> bool:
+    """Whether a candidate of type ``number`` has as many digits as a kind may have; other types fit."""
+    digits = sum(c in _DIGITS for c in text)
+    return 7 <= digits <= 15 if kind == "phone" else 12 <= digits <= 19 if kind == "card" else True
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns of an instance: the word on either side with the shape."""
-    what = shape(text[start:end])
+
+def contexts(text: str, start: int, end: int, what: str) -> list[str]:
+    """The patterns of an instance: the words on its sides, alone and together, with its coarse type."""
     left = text[max(0, start - 60) : start].split()
     right = text[end : end + 60].split()
-    out = []
-    if left:
-        out.append(f"<{re.sub('[0-9]+', '0', left[-1].lower())[-30:]}\t{what}")
-    if right:
-        out.append(f">{re.sub('[0-9]+', '0', right[0].lower())[:30]}\t{what}")
-    return out
+    before = re.sub("[0-9]+", "0", left[-1].lower())[-30:] if left else ""
+    after = re.sub("[0-9]+", "0", right[0].lower())[:30] if right else ""
+    return [f"{x}\t{what}" for x, there in ((f"<{before}", left), (f">{after}", right), (f"={before} {after}", left and right)) if there]
 
 
 def tokens(text: str) -> Iterator[tuple[int, int]]:
@@ -114,26 +133,45 @@ def tokens(text: str) -> Iterator[tuple[int, int]]:
         yield start, at
 
 
-def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str | None, int, int]]:
-    """Seeds with their kind, then other tokens that touch no seed."""
-    taken = sorted(s for spans in base.values() for s in spans)
-    out: list[tuple[str | None, int, int]] = [(k, a, b) for k in KINDS for a, b in base[k]]
-    i = 0
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans of a coarse type, the longest first where they overlap."""
+    found: list[tuple[int, int]] = []
+    for m in _AT.finditer(text):
+        name = _NAME.search(text, max(0, m.start() - 64), m.start())
+        host = _HOST.match(text, m.end())
+        if name and host:
+            found.append((name.start(), host.end()))
+    if any(c in text for c in _DIGITS):
+        found += [m.span() for m in _DOTTED.finditer(text)] + [m.span() for m in _GROUPS.finditer(text)]
     for first, last in tokens(text):
-        while i < len(taken) and taken[i][1] <= first:
-            i += 1
-        if any(a < last and first < b for a, b in taken[i : i + 4]):
-            continue
         token = text[first:last].strip("\"'()[]{}<>,;:.!?|")
         if len(token) >= 6:
             start = text.index(token, first)
-            out.append((None, start, start + len(token)))
-    return out
+            found.append((start, start + len(token)))
+    return sorted({x for x in found if coarse(text[slice(*x)])}, key=lambda x: (x[0] - x[1], x))
+
+
+def instances(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str | None, int, int]]:
+    """Seeds with their kind, then candidates that touch no seed and no longer candidate."""
+    out: list[tuple[str | None, int, int]] = [(k, a, b) for k in KINDS for a, b in base[k]]
+    taken = sorted(s for spans in base.values() for s in spans)
+    latest = list(accumulate((b for _, b in taken), max))
+    free = []
+    for a, b in candidates(text):
+        i = bisect_left(taken, (b, 0))
+        if not i or latest[i - 1] <= a:
+            free.append((a, b))
+    kept: list[tuple[int, int]] = []
+    for a, b in free:
+        i = bisect_left(kept, (b, 0))
+        if not i or kept[i - 1][1] <= a:
+            insort(kept, (a, b))
+    return out + [(None, a, b) for a, b in kept]
 
 
-_ROWS = "part int, uid long, doc_id long, counts array<long>, base array<string>, seed string, span_start int, span_end int, instance long, patterns array<string>"
-_NAMES = ["part", "uid", "doc_id", "counts", "base", "seed", "span_start", "span_end", "instance", "patterns"]
-_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+_ROWS = "part int, uid long, doc_id long, counts array<long>, base array<string>, seed string, span_start int, span_end int, instance long, patterns array<string>, fits array<string>"
+_NAMES = ["part", "uid", "doc_id", "counts", "base", "seed", "span_start", "span_end", "instance", "patterns", "fits"]
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,21 +183,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             uid += 1
             text = text or ""
             base = base_spans(text)
-            rows.append((0, uid, doc, [len(base[k]) for k in KINDS], [f"{k}:{a}:{b}" for k in KINDS for a, b in base[k]], None, None, None, None, None))
+            rows.append((0, uid, doc, [len(base[k]) for k in KINDS], [f"{k}:{a}:{b}" for k in KINDS for a, b in base[k]], None, None, None, None, None, None))
             for seed, a, b in instances(text, base):
-                rows.append((1, uid, None, None, None, seed, a, b, xxhash.xxh3_64_intdigest(text[a:b].encode()) - (1 << 63), contexts(text, a, b)))
+                what = coarse(text[a:b]) if seed is None else "number" if seed in ("card", "phone") else seed
+                may = [k for k in (("card", "phone") if what == "number" else (what,)) if fits(k, text[a:b])]
+                rows.append((1, uid, None, None, None, seed, a, b, xxhash.xxh3_64_intdigest(text[a:b].encode()) - (1 << 63), contexts(text, a, b, what), may))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(_TYPES), _TYPES, strict=True)], _NAMES)
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """``(pattern, kind, score)`` from ``(pattern, instance, seed, n)``, scored in rounds over the graph."""
+    """``(pattern, kind, score)`` from ``(pattern, instance, seed, fits, n)``, scored in rounds over the graph."""
     edges = checkpointed(edges)
     seeds = edges.where("seed is not null").select("instance", F.col("seed").alias("kind")).distinct().withColumn("s", F.lit(1.0))
     enough = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.countDistinct("instance").alias("m")).where(F.col("m") >= min_seeds).select("pattern", "kind")
     enough = checkpointed(enough)
     total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
     total = checkpointed(total.join(enough.select("pattern").distinct(), "pattern", "left_semi"))
-    graph = checkpointed(edges.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(enough, "pattern"))
+    graph = checkpointed(edges.groupBy("pattern", "instance", "fits").agg(F.sum("n").alias("n")).join(enough, "pattern").where(F.array_contains("fits", F.col("kind"))))
     known, patterns = seeds, None
     for _ in range(rounds):
         found = graph.join(known, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("s")).alias("w"))
@@ -181,11 +221,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scanned = stage_table(narrow.mapInArrow(_scan, _ROWS), "scan", "part")
     own = scanned.where("part = 0").select("uid", "doc_id", "counts", "base")
-    hits = scanned.where("part = 1").select("uid", "seed", "span_start", "span_end", "instance", F.explode("patterns").alias("pattern"))
-    edges = hits.groupBy("pattern", "instance", "seed").agg(F.count("*").alias("n"))
+    hits = scanned.where("part = 1").select("uid", "seed", "span_start", "span_end", "instance", "fits", F.explode("patterns").alias("pattern"))
+    edges = hits.groupBy("pattern", "instance", "seed", "fits").agg(F.count("*").alias("n"))
     patterns = score_patterns(edges, rounds, min_seeds).where(F.col("score") >= threshold)
     best = F.max(F.struct("score", "kind")).alias("b")
-    new = hits.where("seed is null").join(patterns, "pattern").groupBy("uid", "span_start", "span_end").agg(best)
+    new = hits.where("seed is null").join(patterns, "pattern").where(F.array_contains("fits", F.col("kind"))).groupBy("uid", "span_start", "span_end").agg(best)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("b.kind"))
     new = new.groupBy("uid").agg(F.collect_list(F.struct(rank.alias("rank"), "span_start", "span_end")).alias("added"))
     out = own.join(new, "uid", "left")

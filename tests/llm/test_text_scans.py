@@ -263,3 +263,11 @@ def test_licence_texts_as_they_are_published(spark):
     got = {r["doc_id"]: (r["sentences"], r["licenses"]) for r in license_scan(docs(spark, [(k, t, "s", "x") for k, (t, _) in enumerate(given)])).collect()}
     assert [got[k][1] for k in range(len(given))] == [[x] for _, x in given]
     assert got[0][0] == ["apache-notice", "apache-use", "apache-copy"] and got[1][0] == ["mit-grant", "mit-keep", "as-is"]
+
+
+def test_contexts_find_other_shapes(spark):
+    rows = [(k, f"call me on +1 ({200 + k}) 555-0{k}13 tonight", "s", "x") for k in range(4)] + [(10 + k, f"my mail is joe{k}@site{k}.org now", "s", "x") for k in range(4)]
+    rows += [(30, "call me on 0171 555 77 13 tonight", "s", "x"), (31, "my mail is joe at site dot org now", "s", "x"), (32, "it sold 0171 555 77 13 units", "s", "x"), (33, "look at site.org there", "s", "x"), (34, "call me on 4 tonight", "s", "x")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert got[30] == ["phone:11:25"] and got[31] == ["email:11:30"] and got[32] == got[33] == got[34] == []
+    assert len(pii.instances("9 " * 20_000 + "a at b.c " * 2000, pii.base_spans(""))) > 2
