@@ -3,34 +3,41 @@
 Documents are sets of hashed word shingles; equal sets are one set from the
 start (its identifier is a hash of the whole set). Two sets can reach the
 similarity only if the *prefixes* of both, the first tokens under any one
-global order of all tokens, share a token. Three orders are used. All of them
-put rare tokens first (by a frequency class read from a sketch over all
-documents) and differ in how they order tokens of one class:
-
-1. Under the first order every prefix token is posted; a token posted by two
-   sets or more makes a *list*. Most tokens are posted once and end here.
-2. Pairs that share a list must also share a prefix token under the second and
-   the third order; only the intersection is verified on the whole sets.
-
-Whole sets are fetched for few documents only: each set has a bitmap of a few
-bits a token, which bounds how much two sets can share, and a pair whose bound
-is too low ends there.
+global order of all tokens, share a token from which on both still have tokens
+enough. Three orders are used. All of them put rare tokens first (by a
+frequency class read from a sketch over all documents) and differ in how they
+order tokens of one class.
+
+1. Under the first order every prefix token is posted with the number of tokens
+   from it on; a token posted by two sets or more makes a *list*. Most tokens
+   are posted once and end here, and so do postings that are too far down their
+   set for any partner in the list.
+2. A pair that shares a list is a candidate only if its prefixes share such a
+   token under the second and under the third order as well. These prefixes,
+   and a bitmap that bounds the overlap, are all that is known of a set here.
+3. Whole sets are fetched and compared for candidates only.
 
 Lists of near copies hold the same sets over and over, so pairs are never
-enumerated freely. Lists of a few members name their pairs. In longer ones
-every member is paired with a few leaders only, a linear number, and verified
-links are merged to components; after that only pairs of different components
-can matter. Long lists that share members are gathered, so that each set is
-looked at once however many lists it is in, and what is left of a gathering
-beside its largest component is compared block by block: each task bounds,
-filters and verifies the pairs of two blocks and emits links only, one for each
-merge, so what comes out never exceeds the number of sets.
+enumerated freely. Lists of a few members pair all of them; in longer ones each
+member is paired with a few leaders, a linear number, and verified links are
+merged to components. After that only lists that still hold several components
+matter, and of those only pairs of different components. Long lists that share
+members are gathered, so that each set is looked at once however many lists it
+is in, and what is left of a gathering beside its largest component is compared
+block by block: each task bounds, filters and verifies the pairs of two blocks
+and emits links only, one for each merge, so what comes out never exceeds the
+number of sets. Short lists name the pairs that no gathering holds.
+
+A token that many sets of one task post is dealt out by pieces, each with its
+own leaders; only these meet in the token's bucket, so no task holds a list
+that grows with the corpus.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +55,10 @@ SKETCH = 1 << 22
 _BLOCKS = 64
 _ORDERS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Members of a list up to which its pairs are named, and members of a block beyond that.
-SHORT_LIST, BLOCK = 16, 1024
-LEADERS = 3
+#: Members of a list up to which all are paired at once, members up to which pairs of components are named, and members of a block.
+ALL_PAIRS, SHORT_LIST, BLOCK = 4, 16, 1024
+#: Members of a list in one task beyond which they are a piece.
+PIECE = 16
 
 # --- shingles -----------------------------------------------------------------------------------
 
@@ -129,24 +137,17 @@ def need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def overlap(n, m, percent: int):
+    """The least number of tokens that linked sets of n and m tokens share."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The tokens of which a linked set must hold at least one, under one global order."""
+    """The first tokens under one global order, of which a linked set must hold at least one; in that order."""
     size = len(tokens) - need(len(tokens), percent) + 1
-    if size >= len(tokens):
-        return tokens
     rank = (classes[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix64(tokens ^ _ORDERS[order]) >> np.uint64(6))
-    return tokens[np.argpartition(rank, size - 1)[:size]]
-
-
-def linked(a: np.ndarray, b: np.ndarray, classes: np.ndarray, percent: int) -> bool:
-    """Length filter, prefixes under the second and third order, then the whole sets."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    for order in (1, 2):
-        if not len(np.intersect1d(prefix(a, classes, order, percent), prefix(b, classes, order, percent), assume_unique=True)):
-            return False
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
+    some = np.argpartition(rank, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
+    return tokens[some[np.argsort(rank[some], kind="stable")]]
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -157,43 +158,82 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def brief(tokens: np.ndarray, classes: np.ndarray, percent: int) -> dict[str, bytes]:
+    """What the filters know of a set: its prefixes under the second and third order (four bytes a token) and its bitmap."""
+    second, third = ((prefix(tokens, classes, k, percent) >> np.uint64(8)).astype(np.uint32).tobytes() for k in (1, 2))
+    return {"second": second, "third": third, "bits": bitmap(tokens)}
+
+
+def share_prefix(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    """Whether two prefixes in one order share a token from which on both sets still have tokens enough for a link.
+
+    The first token that linked sets share stands before all others they
+    share, so both have at least the whole overlap from its place on.
+    """
+    _, at, to = np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), return_indices=True)
+    return bool(len(at)) and int(np.minimum(n - at, m - to).max()) >= overlap(n, m, percent)
+
+
 def may_link(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
     """False only if the bitmaps prove that sets of n and m tokens don't link: a bit of one alone is a token of it alone."""
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
     while len(a) > len(b):
         a = a[: len(a) // 2] | a[len(a) // 2 :]
     while len(b) > len(a):
         b = b[: len(b) // 2] | b[len(b) // 2 :]
-    shared = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
-    return 100 * shared >= percent * (n + m - shared)
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum())) >= overlap(n, m, percent)
+
+
+def is_candidate(a: dict, n: int, b: dict, m: int, percent: int) -> bool:
+    """Whether two sets that share a prefix token under the first order pass the filters of the second and third and of their bitmaps."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    return share_prefix(a["second"], n, b["second"], m, percent) and share_prefix(a["third"], n, b["third"], m, percent) and may_link(a["bits"], n, b["bits"], m, percent)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Verification on the whole sets."""
+    return len(np.intersect1d(a, b, assume_unique=True)) >= overlap(len(a), len(b), percent)
 
 
 # --- passes over the documents ------------------------------------------------------------------
 
 _SETS = "kind int, doc_id long, n long, sid long, block int, packed binary"
+#: Sets a task remembers so as not to count or post them again; beyond that it forgets, which costs work only.
+_REMEMBERED = 1 << 20
+
+
+class _Seen:
+    def __init__(self):
+        self.held: set[int] = set()
+
+    def add(self, sid: int) -> bool:
+        """Whether ``sid`` is new."""
+        if sid in self.held:
+            return False
+        if len(self.held) >= _REMEMBERED:
+            self.held.clear()
+        self.held.add(sid)
+        return True
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Each document's set identifier, size and bitmap (once a task), then this task's share of the sketch."""
+    """Each document's set identifier and size, then this task's share of the sketch."""
     names, kinds = ["kind", "doc_id", "n", "sid", "block", "packed"], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
     def rows(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     counts = np.zeros(SKETCH, np.uint32)
-    seen: set[int] = set()
+    seen = _Seen()
     for batch in batches:
-        sizes, ids, bits, pending, held = [], [], [], [], 0
+        sizes, ids, pending, held = [], [], [], 0
         for tokens in shingle_sets(texts(batch.column(1)), width):
             sid = set_id(tokens) if len(tokens) else None
             sizes.append(len(tokens))
             ids.append(sid)
-            bits.append(None if sid is None or sid in seen else bitmap(tokens))
-            if sid is None or sid in seen:
+            if sid is None or not seen.add(sid):
                 continue
-            seen.add(sid)
             pending.append(tokens)
             held += len(tokens)
             if held > SKETCH // 4:
@@ -201,7 +241,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
                 pending, held = [], 0
         _count(counts, pending)
         n = len(sizes)
-        yield rows([0] * n, batch.column(0), sizes, ids, [None] * n, bits)
+        yield rows([0] * n, batch.column(0), sizes, ids, [None] * n, [None] * n)
     # What one task saw of a counter is told up to 255; more can't change a prefix's place.
     told = np.minimum(counts, 255).astype(np.uint8).reshape(_BLOCKS, -1)
     some = [k for k in range(_BLOCKS) if told[k].any()]
@@ -232,33 +272,103 @@ def _classes(sketches: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, classes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Prefix tokens under the first order, packed by bucket of the token."""
-    seen: set[int] = set()
+@dataclass
+class Postings:
+    """Tokens posted by sets: the set, its size, how many of its tokens stand from this one on in the first order, and whether it speaks for a piece."""
+
+    token: np.ndarray
+    owner: np.ndarray
+    size: np.ndarray
+    reach: np.ndarray
+    speaks: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.token)
+
+    def at(self, which: np.ndarray) -> Postings:
+        return Postings(self.token[which], self.owner[which], self.size[which], self.reach[which], self.speaks[which])
+
+    def runs(self) -> np.ndarray:
+        """Of postings in the order of their tokens, the number of each one's token."""
+        new = np.ones(len(self), bool)
+        new[1:] = self.token[1:] != self.token[:-1]
+        return np.cumsum(new) - 1
+
+    def packed(self) -> bytes:
+        return b"".join(x.tobytes() for x in (self.token, self.owner, self.size.astype(np.uint32), self.reach.astype(np.uint32), self.speaks))
+
+    @staticmethod
+    def unpacked(blocks: list[bytes]) -> Postings:
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
+        for block in blocks:
+            n, at = len(block) // 25, 0
+            for part, kind in zip(parts, (np.uint64, np.int64, np.uint32, np.uint32, np.bool_), strict=True):
+                part.append(np.frombuffer(block, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+        token, owner, size, reach, speaks = (np.concatenate(x) for x in parts)
+        return Postings(token, owner, size.astype(np.int64), reach.astype(np.int64), speaks)
+
+
+def _least(run: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The place of the least ``by`` of each run."""
+    order = np.lexsort((by, run))
+    return order[np.concatenate([[True], run[order][1:] != run[order][:-1]])]
+
+
+def _leaders(some: Postings, run: np.ndarray) -> list[np.ndarray]:
+    """A few members of each run that any part of its list would choose as well, if it has them."""
+    return [_least(run, mix64(some.owner.view(np.uint64) ^ _ORDERS[k])) for k in range(len(_ORDERS))]
+
+
+def _dealt(some: Postings, bucket: np.ndarray, base: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        if cuts[k] < cuts[k + 1]:
+            yield base + k, some.at(order[cuts[k] : cuts[k + 1]]).packed()
+
+
+def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, classes: np.ndarray, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Prefix tokens under the first order, packed by bucket of the token.
+
+    A token that more than ``most`` sets of this task post is a list already: its postings go
+    to other buckets by the piece, and its own bucket gets the piece's leaders
+    and smallest set only.
+    """
+    seen = _Seen()
     tokens: list[np.ndarray] = []
     owners: list[tuple[int, int]] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        lengths = [len(t) for t in tokens]
-        token = np.concatenate(tokens)
-        owner = np.repeat(np.array([s for s, _ in owners], np.int64), lengths)
-        size = np.repeat(np.array([n for _, n in owners], np.uint32), lengths)
-        bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-        packed = [b"".join((token[x].tobytes(), owner[x].tobytes(), size[x].tobytes())) for k in some for x in [order[cuts[k] : cuts[k + 1]]]]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "packed"])
+        lengths = np.array([len(t) for t in tokens])
+        size = np.repeat(np.array([n for _, n in owners], np.int64), lengths)
+        place = np.arange(len(size)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        every = Postings(np.concatenate(tokens), np.repeat(np.array([s for s, _ in owners], np.int64), lengths), size, size - place, np.zeros(len(size), bool))
+        every = every.at(np.argsort(every.token, kind="stable"))
+        run = every.runs()
+        heavy = np.bincount(run)[run] > most
+        pieces, told = every.at(heavy), every.at(~heavy)
+        if len(pieces):
+            run = pieces.runs()
+            speakers = pieces.at(np.unique(np.concatenate([*_leaders(pieces, run), _least(run, pieces.size)])))
+            speakers.speaks = np.ones(len(speakers), bool)
+            told = Postings(*(np.concatenate([getattr(x, f.name) for x in (told, speakers)]) for f in fields(Postings)))
+            first = np.flatnonzero(np.diff(run, prepend=-1))
+            other = (mix64(pieces.token[first] + pieces.owner[first].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[run]
+        else:
+            other = np.empty(0, np.int64)
+        own = ((told.token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        out = [(k, x) for some, bucket, base in ((told, own, 0), (pieces, other, buckets)) for k, x in _dealt(some, bucket, base, buckets)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
 
     for batch in batches:
         for whole in shingle_sets(texts(batch.column(0)), width):
             if not len(whole):
                 continue
             sid = set_id(whole)
-            if sid in seen:
+            if not seen.add(sid):
                 continue
-            seen.add(sid)
             tokens.append(prefix(whole, classes, 0, percent))
             owners.append((sid, len(whole)))
             held += len(tokens[-1])
@@ -269,93 +379,100 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, class
         yield flush()
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one bucket, the postings of tokens that two sets or more have posted."""
-    token, owner, size = [], [], []
-    for batch in batches:
-        for packed in batch.column("packed").to_pylist():
-            n = len(packed) // 20
-            token.append(np.frombuffer(packed, np.uint64, n))
-            owner.append(np.frombuffer(packed, np.int64, n, 8 * n))
-            size.append(np.frombuffer(packed, np.uint32, n, 16 * n))
-    t = np.concatenate(token)
-    order = np.argsort(t, kind="stable")
-    t = t[order]
-    again = np.zeros(len(t), bool)
-    again[1:] = t[1:] == t[:-1]
-    again[:-1] |= again[1:]
-    order, t = order[again], t[again]
-    o, s = np.concatenate(owner)[order], np.concatenate(size)[order]
-    order = np.lexsort((o, t))
-    t, o, s = t[order], o[order], s[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-    t, o, s = t[new], o[new], s[new]
-    _, which, count = np.unique(t, return_inverse=True, return_counts=True)
-    keep = count[which] > 1
-    yield pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(o[keep]), pa.array(s[keep].astype(np.int64)), pa.array(count[which][keep].astype(np.int64))], ["tok", "sid", "n", "m"])
-
-
-def _held(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the documents that the bitmap names, each set once a batch."""
+_LISTS = "tok long, sid long, n long, reach long, m long, leads array<long>"
+
+
+def lists_of(some: Postings, percent: int, piece: bool) -> tuple[Postings, np.ndarray, pa.ListArray]:
+    """Of one bucket, the lists of two sets or more: members, length of each one's list (2**40 where it has pieces), and the members it is paired with.
+
+    A posting with less left from its token on than a link to the smallest set
+    of the list takes belongs to no pair of this list. Lists of up to ALL_PAIRS
+    members pair all, longer ones each member with a few leaders.
+    """
+    none = some.at(np.empty(0, np.int64)), np.empty(0, np.int64), pa.array([], pa.list_(pa.int64()))
+    if not len(some):
+        return none
+    some = some.at(np.lexsort((~some.speaks, some.owner, some.token)))
+    run = some.runs()
+    some = some.at(np.concatenate([[True], (run[1:] != run[:-1]) | (some.owner[1:] != some.owner[:-1])]))
+    run = some.runs()
+    part = piece | (np.bincount(run, some.speaks)[run] > 0)
+    if not piece:
+        least = np.minimum.reduceat(some.size, np.flatnonzero(np.diff(run, prepend=-1)))[run]
+        near = overlap(some.size, np.maximum(least, need(some.size, percent)), percent) <= some.reach
+        near &= part | (np.bincount(run, near)[run] > 1)
+        some, part = some.at(near), part[near]
+    if not len(some):
+        return none
+    run = some.runs()
+    count = np.bincount(run)[run]
+    ways = [lead[run] for lead in _leaders(some, run)]
+    pairs = [(np.flatnonzero(count > ALL_PAIRS), way[count > ALL_PAIRS]) for way in ways]
+    for step in range(1, ALL_PAIRS):
+        at = np.flatnonzero((count[step:] <= ALL_PAIRS) & (run[step:] == run[:-step])) + step
+        pairs.append((at, at - step))
+    one, other = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    good = (some.owner[one] != some.owner[other]) & fits(some.size[one], some.reach[one], some.size[other], some.reach[other], percent)
+    one, other = one[good], other[good]
+    order = np.argsort(one, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(one, minlength=len(some)))])
+    return some, np.where(part, 1 << 40, count), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(some.owner[other[order]]))
+
+
+def fits(n, r, m, s, percent: int):
+    """Whether sets of n and m tokens, with r and s of them from a shared token on, may link by that token."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(r, s) >= overlap(n, m, percent))
+
+
+def _held(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray, say: Callable[[np.ndarray], dict], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What ``say`` tells of the sets of documents that the bitmap names or that have no identifier, each set once a batch."""
     for batch in batches:
-        some = batch.filter(pa.array(in_bitmap(bitmap, batch.column(0).to_numpy(zero_copy_only=False))))
+        ids = batch.column(0)
+        wanted = in_bitmap(bitmap, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+        some = batch.filter(pa.array(wanted))
         if not some.num_rows:
             continue
         sets = {set_id(t): t for t in shingle_sets(texts(some.column(1)), width) if len(t)}
-        yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([t.tobytes() for t in sets.values()], pa.binary())], ["sid", "tokens"])
+        told = [say(t) for t in sets.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(t) for t in sets.values()], pa.int64()), *(pa.array([x[c] for x in told], pa.binary()) for c in names)], ["sid", "n", *names])
 
 
 # --- pairs --------------------------------------------------------------------------------------
 
 
-def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Of named pairs ``(a, b)``, those whose bitmaps don't rule the link out."""
-    left = bits.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
-    right = bits.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+def _paired(pairs: DataFrame, told: DataFrame, names: list[str], test: Callable[[dict, int, dict, int], bool]) -> DataFrame:
+    """The named pairs ``(a, b)`` that pass a test of what is told of both sets."""
+    one = told.select(F.col("sid").alias("a"), F.col("n").alias("n"), F.struct(*names).alias("x"))
+    other = told.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.struct(*names).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
-            yield batch.select([0, 1]).filter(pa.array([may_link(x, n, y, m, percent) for n, x, m, y in rows], pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
+            yield batch.select([0, 1]).filter(pa.array([test(x, n, y, m) for n, x, m, y in rows], pa.bool_()))
 
-
-def _verified(pairs: DataFrame, held: DataFrame, classes: Broadcast, percent: int) -> DataFrame:
-    """Of named pairs ``(a, b)``, those that link."""
-    left = held.select(F.col("sid").alias("a"), F.col("tokens").alias("x"))
-    right = held.select(F.col("sid").alias("b"), F.col("tokens").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = pa.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), classes.value, percent) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield batch.select([0, 1]).filter(good)
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(run, "a long, b long")
 
 
 def _named(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of short lists whose sizes allow a link."""
+    """The pairs of short lists that are in different components, in no common gathering, and may link by the list's token."""
     for batch in batches:
         out: set[tuple[int, int]] = set()
         for members in batch.column(0).to_pylist():
             for i, p in enumerate(members):
                 for q in members[:i]:
-                    if 100 * min(p["n"], q["n"]) >= percent * max(p["n"], q["n"]):
+                    if p["comp"] != q["comp"] and (p["gather"] is None or p["gather"] != q["gather"]) and fits(p["n"], p["reach"], q["n"], q["reach"], percent):
                         out.add((min(p["sid"], q["sid"]), max(p["sid"], q["sid"])))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
 
 
-def block_links(sids: np.ndarray, comps: np.ndarray, sides: np.ndarray, bits: list[bytes], sets: list[np.ndarray], classes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def block_links(sids: np.ndarray, comps: np.ndarray, sides: np.ndarray, briefs: list[dict], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between members of different components, one for each merge of two.
 
     ``sides`` are 0 and 1 for the two blocks of a pair (all 0: one block with
     itself). A member is bounded against all others at once, by bitmaps of one
-    size (those of the next larger size folded); what passes is verified by the
-    second and third order and on the whole sets, unless a link made meanwhile
-    has joined the two.
+    size (those of the next larger size folded); what passes the filters of the
+    second and third order is verified on the whole sets, unless a link made
+    meanwhile has joined the two.
     """
     parent: dict[int, int] = {}
 
@@ -369,6 +486,7 @@ def block_links(sids: np.ndarray, comps: np.ndarray, sides: np.ndarray, bits: li
     if not len(other):
         other = one
     out = []
+    bits = [x["bits"] for x in briefs]
     width, sizes = np.array([len(b) for b in bits]), np.array([len(t) for t in sets])
     for w in np.unique(width[one]):
         mine = one[width[one] == w]
@@ -386,10 +504,10 @@ def block_links(sids: np.ndarray, comps: np.ndarray, sides: np.ndarray, bits: li
                 only_theirs = np.bitwise_count(y[open_] & ~row).sum(axis=1, dtype=np.int64)
                 m = m[open_]
                 shared = np.minimum(n - only_mine, m - only_theirs)
-                near = 100 * shared >= percent * (n + m - shared)
+                near = shared >= overlap(n, m, percent)
                 for j in theirs[open_[near][np.argsort(-shared[near], kind="stable")]].tolist():
                     a, b = root(int(comps[k])), root(int(comps[j]))
-                    if a != b and linked(sets[k], sets[j], classes, percent):
+                    if a != b and is_candidate(briefs[k], int(n), briefs[j], int(sizes[j]), percent) and linked(sets[k], sets[j], percent):
                         parent[a] = b
                         out.append((int(sids[k]), int(sids[j])))
     return out
@@ -403,23 +521,19 @@ def _folded(bits: list[bytes], which: np.ndarray, width: int) -> np.ndarray:
     return rows
 
 
-def _gathered(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(sid, comp, gather, main, n_main, n_rest)`` of the sets in long lists whose gathering has several components.
-
-    ``main`` says whether the set is in the gathering's largest component.
-    """
+def _gathered(long: DataFrame) -> DataFrame:
+    """``(sid, comp, gather)`` of the sets in long lists: a gathering is what such lists connect."""
     least = long.groupBy("tok").agg(F.min("sid").alias("a"))
     gathers = connected_components(long.join(least, "tok").select("a", F.col("sid").alias("b")).distinct(), "a", "b")
-    rows = gathers.select(F.col("node").alias("sid"), F.col("component").alias("gather")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    rows = checkpointed(rows.select("sid", "gather", F.coalesce("component", "sid").alias("comp")))
-    sizes = rows.groupBy("gather", "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("gather").agg(F.max(F.struct("c", "comp")).alias("x"), (F.sum("c") - F.max("c")).alias("n_rest")).where("n_rest > 0")
-    largest = largest.select("gather", F.col("x.comp").alias("top"), F.col("x.c").alias("n_main"), "n_rest")
-    return rows.join(largest, "gather").select("sid", "comp", "gather", (F.col("comp") == F.col("top")).alias("main"), "n_main", "n_rest")
+    return gathers.select(F.col("node").alias("sid"), F.col("component").alias("gather")).join(long.select("sid", "comp").distinct(), "sid")
 
 
-def _block_merges(gathered: DataFrame, bits: DataFrame, held: DataFrame, classes: Broadcast, percent: int) -> DataFrame:
-    """Links inside gatherings: the rest against the rest and against the main component, block against block."""
+def _block_merges(gathered: DataFrame, briefs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links inside gatherings: what is not in the largest component, against itself and against that one, block against block."""
+    sizes = gathered.groupBy("gather", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("gather").agg(F.max(F.struct("c", "comp")).alias("x"), (F.sum("c") - F.max("c")).alias("n_rest")).where("n_rest > 0")
+    largest = largest.select("gather", F.col("x.comp").alias("top"), F.col("x.c").alias("n_main"), "n_rest")
+    gathered = gathered.join(largest, "gather").withColumn("main", F.col("comp") == F.col("top"))
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK).cast("int"), F.lit(1))
     at = F.when(F.col("main"), F.pmod(F.xxhash64("sid"), blocks("n_main"))).otherwise(F.pmod(F.xxhash64("sid"), blocks("n_rest"))).cast("int")
     task = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
@@ -428,82 +542,105 @@ def _block_merges(gathered: DataFrame, bits: DataFrame, held: DataFrame, classes
     against_main = F.transform(F.sequence(F.lit(0), blocks("n_main") - 1), lambda x: task(1, F.col("at"), x, F.lit(0)))
     main_side = F.transform(rest_blocks, lambda x: task(1, x, F.col("at"), F.lit(1)))
     rows = gathered.withColumn("at", at).withColumn("t", F.explode(F.when(F.col("main"), main_side).otherwise(F.concat(against_rest, against_main))))
-    sets = held.join(bits.select("sid", "bits"), "sid")
+    sets = held.select("sid", "tokens").join(briefs.select("sid", F.struct(*_BRIEF).alias("brief")), "sid")
     rows = rows.select("gather", "t.kind", "t.i", "t.j", "t.side", "sid", "comp").join(sets, "sid")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b.select(["sid", "comp", "side", "bits", "tokens"]) for b in batches]
+        got = [b.select(["sid", "comp", "side", "brief", "tokens"]) for b in batches]
         sid, comp, side = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in range(3))
-        bits_, sets_ = ([x for b in got for x in b.column(k).to_pylist()] for k in (3, 4))
-        found = block_links(sid, comp, side, bits_, [np.frombuffer(t, np.uint64) for t in sets_], classes.value, percent) if (side == 0).any() else []
+        told, whole = ([x for b in got for x in b.column(k).to_pylist()] for k in (3, 4))
+        found = block_links(sid, comp, side, told, [np.frombuffer(t, np.uint64) for t in whole], percent) if (side == 0).any() else []
         yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
     return rows.groupBy("gather", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
+_BRIEF = ["second", "third", "bits"]
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their
     sets of ``width``-word shingles (a shorter document is one shingle); a
     component is named by its smallest doc_id. Texts that are null or have no
-    words have no shingles and stand alone. A row with a null identifier shares
-    the component of rows with its very set and is linked with no other.
-    Repeated rows are equal sets, hence one component. Other columns are
-    ignored; an empty table gives no rows. Sets are compared by 64-bit hashes
-    of their shingles.
+    words have no shingles and stand alone. A row with a null identifier links
+    as any other, but names no component; a component of such rows alone has a
+    null name. Repeated rows are equal sets, hence one component. Other columns
+    are ignored; an empty table gives no rows. Sets are compared by 64-bit
+    hashes of their shingles.
     """
     spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
+    shared: list[Broadcast] = []
+
+    def share(value) -> Broadcast:
+        shared.append(spark.sparkContext.broadcast(value))
+        return shared[-1]
+
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = stage_table(narrow.mapInArrow(lambda batches: _first_pass(batches, width), _SETS), "sets", "kind")
     sets = first.where("kind = 0").select("doc_id", "n", "sid")
-    bits = first.where("kind = 0 and packed is not null").select("sid", "n", F.col("packed").alias("bits"))
     classes = share(_classes(first.where("kind = 1")))
 
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(shuffle_partitions(spark), tokens * (101 - percent) // 100 // 1_000_000))
-    posted = narrow.select("text").mapInArrow(lambda batches: _postings(batches, width, percent, classes.value, buckets), "bucket int, packed binary")
+    posted = narrow.select("text").mapInArrow(lambda batches: _postings(batches, width, percent, classes.value, buckets, PIECE), "bucket int, packed binary")
 
-    def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _lists(batches)
+    def bucket_lists(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, m, leads = lists_of(Postings.unpacked([x for b in batches for x in b.column("packed").to_pylist()]), percent, key[0].as_py() >= buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(some.token.view(np.int64)), pa.array(some.owner), pa.array(some.size), pa.array(some.reach), pa.array(m), leads], ["tok", "sid", "n", "reach", "m", "leads"])
 
-    lists = stage_table(posted.groupBy("bucket").applyInArrow(lists_of, "tok long, sid long, n long, m long"), "lists")
+    lists = stage_table(posted.groupBy("bucket").applyInArrow(bucket_lists, _LISTS), "lists")
     by_set = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
 
-    def fetched(wanted: DataFrame) -> DataFrame:
-        """The whole sets of ``wanted(sid)``, made again from their documents."""
+    def fetched(wanted: DataFrame, name: str, columns: list[str], say: Callable[[np.ndarray], dict]) -> DataFrame:
+        """What ``say`` tells of the sets of ``wanted(sid)``, made again from their documents."""
         named = share(membership_bitmap(wanted.join(by_set, "sid").select("least"), "least"))
-        found = narrow.where("doc_id is not null").mapInArrow(lambda batches: _held(batches, width, named.value), "sid long, tokens binary")
-        return stage_table(found.join(wanted, "sid").groupBy("sid").agg(F.min("tokens").alias("tokens")), "held")
-
-    # One bitmap for each set that is in a list.
-    members = lists.select("sid").distinct()
-    bits = stage_table(bits.join(members, "sid").groupBy("sid", "n").agg(F.min("bits").alias("bits")), "bits")
-    short = lists.where(F.col("m") <= SHORT_LIST).groupBy("tok").agg(F.collect_list(F.struct("sid", "n")).alias("members")).select("members")
-    pairs = short.mapInArrow(lambda batches: _named(batches, percent), "a long, b long")
-
-    # Every member of a long list against a few leaders of it.
-    long = lists.where(F.col("m") > SHORT_LIST)
-    salted = [F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "n")).alias(f"l{k}") for k in range(LEADERS)]
-    leaders = long.groupBy("tok").agg(*salted).select("tok", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.sid", f"l{k}.n") for k in range(LEADERS)]))).alias("lead"))
-    close = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-    stars = long.join(leaders, "tok").where((F.col("sid") != F.col("lead.sid")) & close)
-    stars = stars.select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b"))
-    near = checkpointed(_bounded(pairs.unionByName(stars).distinct(), bits, percent))
-    held = fetched(near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid"))).distinct())
-    links = checkpointed(_verified(near, held, classes, percent))
-    labels = checkpointed(connected_components(links, "a", "b"))
-
-    # What long lists still hold of several components.
-    gathered = checkpointed(_gathered(long, labels))
-    if not gathered.isEmpty():
-        more = checkpointed(_block_merges(gathered, bits, fetched(gathered.select("sid")), classes, percent))
-        if not more.isEmpty():
-            labels = checkpointed(connected_components(links.unionByName(more), "a", "b"))
-
-    named_by = by_set.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
+        found = narrow.mapInArrow(lambda batches: _held(batches, width, named.value, say, columns), f"sid long, n long, {', '.join(f'{c} binary' for c in columns)}")
+        return stage_table(found.join(wanted, "sid").dropDuplicates(["sid"]), name)
+
+    def whole(wanted: DataFrame) -> DataFrame:
+        return fetched(wanted, "held", ["tokens"], lambda t: {"tokens": t.tobytes()})
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        return checkpointed(_paired(pairs, briefs, _BRIEF, lambda x, n, y, m: is_candidate(x, n, y, m, percent)))
+
+    def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        same = lambda x, n, y, m: linked(np.frombuffer(x["tokens"], np.uint64), np.frombuffer(y["tokens"], np.uint64), percent)
+        return checkpointed(_paired(pairs, held, ["tokens"], same))
+
+    # Every member against its list's leaders.
+    briefs = fetched(lists.select("sid").distinct(), "briefs", _BRIEF, lambda t: brief(t, classes.value, percent))
+    led = lists.select("sid", F.explode("leads").alias("lead"))
+    near = candidates(led.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct())
+    links = verified(near, whole(ends(near)))
+    labels = checkpointed(connected_components(links, "a", "b")).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+
+    # Lists that still hold several components.
+    members = lists.where(F.col("m") > ALL_PAIRS).select("tok", "sid", "n", "reach").distinct().join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    open_ = members.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.count("*").alias("m")).where("low <> high")
+    smallest = F.greatest(F.col("least"), -F.floor(-percent * F.col("n") / 100))
+    members = members.join(open_.select("tok", "least", "m"), "tok").where((100 + percent) * F.col("reach") >= percent * (F.col("n") + smallest))
+    members = stage_table(members.select("tok", "sid", "n", "reach", "comp", "m"), "open")
+    if not members.isEmpty():
+        gathered = checkpointed(_gathered(members.where(F.col("m") > SHORT_LIST)))
+        short = members.where(F.col("m") <= SHORT_LIST).join(gathered.select("sid", "gather"), "sid", "left")
+        short = short.groupBy("tok").agg(F.collect_list(F.struct("sid", "n", "reach", "comp", "gather")).alias("members")).select("members")
+        near = candidates(short.mapInArrow(lambda batches: _named(batches, percent), "a long, b long").distinct())
+        held = whole(ends(near).unionByName(gathered.select("sid")).distinct())
+        more = verified(near, held).unionByName(checkpointed(_block_merges(gathered, briefs, held, percent)))
+        of = lambda end: labels.select(F.col("sid").alias(end), F.col("comp").alias(f"comp_{end}"))
+        more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+        joined = checkpointed(connected_components(more, "a", "b")).select(F.col("node").alias("comp"), "component")
+        every = by_set.select("sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        labels = every.join(joined, "comp", "left").select("sid", F.coalesce("component", "comp").alias("comp"))
+
+    named_by = by_set.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     smallest = named_by.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_set = named_by.join(smallest, "comp").select("sid", "component_id")
-    out = sets.join(by_set, "sid", "left")
+    out = stage_table(sets.join(named_by.join(smallest, "comp").select("sid", "component_id"), "sid", "left"), "components")
+    for value in shared:
+        value.destroy()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

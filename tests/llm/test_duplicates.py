@@ -8,7 +8,7 @@ from llm.data import AWKWARD, collected, docs
 
 from partita.llm import ngram_join
 from partita.llm.exact_dedup import exact_dedup
-from partita.llm.ngram_join import bitmap, block_links, linked, may_link, ngram_components, shingle_sets
+from partita.llm.ngram_join import bitmap, block_links, brief, is_candidate, linked, may_link, ngram_components, shingle_sets
 
 
 def exact_by_hand(rows):
@@ -73,11 +73,12 @@ def test_ngram_components_on_awkward_rows(spark):
     assert ngram_components(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("short, block", [(16, 1024), (2, 5)])
-def test_ngram_components_equal_brute_force(spark, monkeypatch, short, block):
-    """Near copies by few and many edits, a passage in many documents, short texts: by short lists, and by small blocks of long ones."""
+@pytest.mark.parametrize("short, block, piece", [(16, 1024, 16), (2, 5, 3)])
+def test_ngram_components_equal_brute_force(spark, monkeypatch, short, block, piece):
+    """Near copies by few and many edits, a passage in many documents, short texts, null identifiers: by short lists, and by pieces and small blocks of long ones."""
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
     rng = random.Random(short)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     base, passage, rows = [word() for _ in range(90)], [word() for _ in range(25)], []
@@ -88,6 +89,10 @@ def test_ngram_components_equal_brute_force(spark, monkeypatch, short, block):
         rows.append((k, " ".join(edited[: rng.choice([90, 90, 88, 80])]), "s", "x"))
     rows += [(k, " ".join(passage + [word() for _ in range(rng.choice([0, 2, 4, 5, 6, 30]))]), "s", "x") for k in range(60, 110)]
     rows += [(k, " ".join(rng.choice(passage[:3]) for _ in range(rng.randrange(9))), "s", "x") for k in range(110, 130)]
+    # A set without any identifier between two that reach it alone.
+    lone = [word() for _ in range(100)]
+    chain = [lone[4:] + [word() for _ in range(4)], lone[:96] + [word() for _ in range(4)]]
+    rows += [(None, " ".join(lone), "s", "x"), *((130 + k, " ".join(w), "s", "x") for k, w in enumerate(chain)), (None, rows[3][1] + " end", "s", "x")]
     rng.shuffle(rows)
     assert collected(ngram_components(docs(spark, rows).repartition(3))) == components_by_hand(rows)
 
@@ -95,7 +100,7 @@ def test_ngram_components_equal_brute_force(spark, monkeypatch, short, block):
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(3)
     classes = np.zeros(ngram_join.SKETCH, np.uint8)
-    passed = 0
+    passed = 0  # by the bitmaps; the filters of all three orders never rule out a link either
     for _ in range(1500):
         a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 60), dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.choice([0.05, 0.2, 0.5])], rng.integers(0, 1 << 63, rng.integers(0, 8), dtype=np.uint64)]))
@@ -105,10 +110,15 @@ def test_bitmaps_never_rule_out_a_link():
         truth = 100 * shared >= 80 * (len(a) + len(b) - shared)
         near = may_link(bitmap(a), len(a), bitmap(b), len(b), 80)
         assert near or not truth
-        assert linked(a, b, classes, 80) == truth
+        assert linked(a, b, 80) == truth
+        x, y = brief(a, classes, 80), brief(b, classes, 80)
+        assert is_candidate(x, len(a), y, len(b), 80) or not truth
+        first = ngram_join.prefix(a, classes, 0, 80), ngram_join.prefix(b, classes, 0, 80)
+        _, at, to = np.intersect1d(*first, return_indices=True)
+        assert bool(ngram_join.fits(len(a), len(a) - at, len(b), len(b) - to, 80).any()) or not truth
         sids, comps = np.array([1, 2]), np.array([1, 2])
         for sides in ([0, 0], [0, 1]):
-            assert bool(block_links(sids, comps, np.array(sides), [bitmap(a), bitmap(b)], [a, b], classes, 80)) == truth
+            assert bool(block_links(sids, comps, np.array(sides), [x, y], [a, b], 80)) == truth
         passed += near
     assert 100 < passed < 1400
 
