@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 #: The ASCII white space that the contracts name.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -23,6 +26,46 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def with_text(docs: DataFrame, id_col: str, text_col: str, whole_rows: bool) -> tuple[DataFrame, list[StructField]]:
+    """``docs`` as ``doc_id``, if wanted ``row`` (a struct of all columns), and ``text``; and the fields before the text."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row, F.col(text_col).cast("string").alias("text"))
+    return out, out.schema.fields[:-1]
+
+
+def held_out(doc_id: Column) -> Column:
+    """The rows of which no model learns: crc32 of the identifier as text, modulo 5, is 0 (a null counts as empty)."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def fitted(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, fit: Callable[[list[bytes], list[int]], Any], rows: int, size: int) -> Any:
+    """What ``fit`` makes of marked texts that aren't held out: the first ``rows`` in the order of a hash of their identifier, up to about ``size`` bytes.
+
+    ``marks`` are ``(i, y)``, each identifier once. Documents that repeat a
+    marked identifier count as rows of their own, within the same bounds. The
+    sample goes to one task, which fits and returns the model alone, so the
+    driver holds neither texts nor the arrays of training.
+    """
+    mine = marks.where("i is not null").where(~held_out(F.col("i"))).orderBy(F.xxhash64("i"), "i").limit(rows)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    found = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("text")).join(mine, "i")
+    found = found.select(F.xxhash64("i").alias("h"), "i", "text", "y").orderBy("h", "i", "text").limit(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        sample, said, held = [], [], 0
+        for _, _, text, y in given:
+            if held >= size:
+                break
+            held += len(text)
+            sample.append(text)
+            said.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample, said))], pa.binary())], ["model"])
+
+    model = found.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(model["model"]) if model else fit([], [])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))

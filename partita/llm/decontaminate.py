@@ -17,14 +17,16 @@ spans are merged by row number.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from partita.llm.common import texts
+from partita.llm.common import texts, with_text
 from partita.session import stage_table
 
 #: Bytes above, digits and lower-case letters stay; A-Z are lowered; all else ends a word.
@@ -180,20 +182,21 @@ def _search_shard(codes: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray
     return doc, where - starts[doc], width, [x for f in found for x in f[2]]
 
 
-_HITS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
-_HITS_SQL = "row long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+_HITS = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(_SPAN)), StructField("items", ArrayType(StringType()))])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int) -> Iterator[pa.RecordBatch]:
-    rows: list[int] = []
-    ids: list = []
+    """What is found in the text, the last column, of each row; the columns before it stay."""
     codes: list[np.ndarray] = []
+    pieces: list[pa.RecordBatch] = []
     size = 0
 
     def search() -> pa.RecordBatch:
         doc, first, width, items = _search_shard(codes, phrases)
-        spans: list[list] = [[] for _ in ids]
-        named: list[set] = [set() for _ in ids]
+        spans: list[list] = [[] for _ in codes]
+        named: list[set] = [set() for _ in codes]
         for k in np.lexsort((first, doc)) if len(doc) else ():
             own, start = spans[doc[k]], int(first[k])
             if own and start <= own[-1]["end"]:
@@ -202,19 +205,23 @@ def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: in
                 own.append({"start": start, "end": start + int(width[k])})
             named[doc[k]].update(items[k])
         labels = [[phrases.ids[i] for i in x] for x in named]
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(c) for c in codes], pa.int64()), pa.array(spans, _HITS.field("spans").type), pa.array(labels, _HITS.field("items").type)], schema=_HITS)
+        kept = [pa.concat_arrays([p.column(k) for p in pieces]) for k in range(pieces[0].num_columns)]
+        found = [pa.array([len(c) for c in codes], pa.int64()), pa.array(spans, _SPANS), pa.array(labels, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*kept, *found], [*pieces[0].schema.names, *_HITS.names])
 
     for batch in batches:
-        for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
+        others, begun = batch.select(range(batch.num_columns - 1)), 0
+        for k, text in enumerate(texts(batch.columns[-1])):
             said = words_of(text)
-            rows.append(row)
-            ids.append(doc)
             codes.append(np.fromiter(map(phrases.words.get, said, repeat(0)), np.int64, len(said)))
             size += len(said)
             if size >= shard_words:
+                pieces.append(others.slice(begun, k + 1 - begun))
                 yield search()
-                rows, ids, codes, size = [], [], [], 0
-    if ids:
+                codes, pieces, size, begun = [], [], 0, k + 1
+        if begun < batch.num_rows:
+            pieces.append(others.slice(begun))
+    if codes:
         yield search()
 
 
@@ -241,6 +248,7 @@ def contamination(
     window: int = 13,
     shard_words: int = 1 << 21,
     block_bytes: int = 4 << 20,
+    whole_rows: bool = False,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, spans, items, contaminated`` for every row of ``docs``.
 
@@ -254,28 +262,27 @@ def contamination(
     no rows, no items give no hits.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    given, kinds = with_text(docs, id_col, text_col, whole_rows)
+    kinds = StructType([*kinds, *_HITS.fields])
     item = F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item")
     items = benchmark.select(item, F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).distinct()
-    parts = []
     blocks = _blocks(items, block_bytes)
     first = list(islice(blocks, 2))
-    if len(first) > 1:
-        narrow = stage_table(narrow, "rows")  # each pass must see the same numbers
-    for block in chain(first, blocks):
-        shared = spark.sparkContext.broadcast(Phrases(block, window))
-        parts.append(narrow.mapInArrow(lambda batches, shared=shared: _shards(batches, shared.value, shard_words), _HITS_SQL))
-    if not parts:
-        empty = Phrases([], window)
-        parts = [narrow.mapInArrow(lambda batches: _shards(batches, empty, shard_words), _HITS_SQL)]
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        found = found.withColumn("spans", F.expr(_MERGE))
+    if len(first) < 2:
+        shared = spark.sparkContext.broadcast(Phrases(first[0] if first else [], window))
+        found = given.mapInArrow(lambda batches: _shards(batches, shared.value, shard_words), kinds)
+    else:
+        # Each pass must see the same row numbers; whole rows wait in the numbered table.
+        numbered = stage_table(given.select(F.monotonically_increasing_id().alias("number"), "*"), "rows")
+        parts = []
+        for block in chain(first, blocks):
+            shared = spark.sparkContext.broadcast(Phrases(block, window))
+            part = numbered.select("number", "text").mapInArrow(lambda batches, shared=shared: _shards(batches, shared.value, shard_words), StructType([StructField("number", LongType()), *_HITS.fields]))
+            parts.append(part.where(F.size("items") > 0) if parts else part)
+        found = reduce(DataFrame.unionByName, parts).groupBy("number").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        found = numbered.drop("text").join(found.withColumn("spans", F.expr(_MERGE)), "number").drop("number")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
-    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", F.array_sort(F.array_distinct("items")).alias("items"))
+    out = found.select(*[f.name for f in kinds.fields[: -len(_HITS)]], "n_words", n_hit.alias("n_hit"), "spans", F.array_sort(F.array_distinct("items")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

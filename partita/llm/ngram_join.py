@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partita.llm.common import in_bitmap, membership_bitmap, mix64, texts
@@ -198,7 +198,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 # --- passes over the documents ------------------------------------------------------------------
 
-_SETS = "kind int, doc_id long, n long, sid long, block int, packed binary"
+_SETS = "kind int, doc_id long, n long, sid long, digest string, block int, packed binary"
 #: Sets a task remembers so as not to count or post them again; beyond that it forgets, which costs work only.
 _REMEMBERED = 1 << 20
 
@@ -219,7 +219,8 @@ class _Seen:
 
 def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Each document's set identifier and size, then this task's share of the sketch."""
-    names, kinds = ["kind", "doc_id", "n", "sid", "block", "packed"], (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    names = ["kind", "doc_id", "n", "sid", "digest", "block", "packed"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary())
 
     def rows(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
@@ -241,12 +242,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
                 pending, held = [], 0
         _count(counts, pending)
         n = len(sizes)
-        yield rows([0] * n, batch.column(0), sizes, ids, [None] * n, [None] * n)
+        yield rows([0] * n, batch.column(0), sizes, ids, batch.column(2), [None] * n, [None] * n)
     # What one task saw of a counter is told up to 255; more can't change a prefix's place.
     told = np.minimum(counts, 255).astype(np.uint8).reshape(_BLOCKS, -1)
     some = [k for k in range(_BLOCKS) if told[k].any()]
     m = len(some)
-    yield rows([1] * m, [None] * m, [None] * m, [None] * m, some, [zlib.compress(told[k].tobytes(), 1) for k in some])
+    yield rows([1] * m, [None] * m, [None] * m, [None] * m, [None] * m, some, [zlib.compress(told[k].tobytes(), 1) for k in some])
 
 
 def _count(counts: np.ndarray, sets: list[np.ndarray]) -> None:
@@ -558,15 +559,15 @@ def _block_merges(gathered: DataFrame, briefs: DataFrame, held: DataFrame, perce
 _BRIEF = ["second", "third", "bits"]
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, digest: Column | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, group`` for every row of ``docs``, and ``digest`` if a column is given for it.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their
     sets of ``width``-word shingles (a shorter document is one shingle); a
     component is named by its smallest doc_id. Texts that are null or have no
     words have no shingles and stand alone. A row with a null identifier links
     as any other, but names no component; a component of such rows alone has a
-    null name. Repeated rows are equal sets, hence one component. Other columns
+    null name. ``group`` numbers the components, null for empty sets. Repeated rows are equal sets, hence one component. Other columns
     are ignored; an empty table gives no rows. Sets are compared by 64-bit
     hashes of their shingles.
     """
@@ -577,9 +578,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         shared.append(spark.sparkContext.broadcast(value))
         return shared[-1]
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None) if digest is None else digest).cast("string").alias("digest"))
     first = stage_table(narrow.mapInArrow(lambda batches: _first_pass(batches, width), _SETS), "sets", "kind")
-    sets = first.where("kind = 0").select("doc_id", "n", "sid")
+    sets = first.where("kind = 0").select("doc_id", "n", "sid", "digest")
     classes = share(_classes(first.where("kind = 1")))
 
     tokens = sets.agg(F.sum("n")).first()[0] or 0
@@ -596,7 +597,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def fetched(wanted: DataFrame, name: str, columns: list[str], say: Callable[[np.ndarray], dict]) -> DataFrame:
         """What ``say`` tells of the sets of ``wanted(sid)``, made again from their documents."""
         named = share(membership_bitmap(wanted.join(by_set, "sid").select("least"), "least"))
-        found = narrow.mapInArrow(lambda batches: _held(batches, width, named.value, say, columns), f"sid long, n long, {', '.join(f'{c} binary' for c in columns)}")
+        found = narrow.select("doc_id", "text").mapInArrow(lambda batches: _held(batches, width, named.value, say, columns), f"sid long, n long, {', '.join(f'{c} binary' for c in columns)}")
         return stage_table(found.join(wanted, "sid").dropDuplicates(["sid"]), name)
 
     def whole(wanted: DataFrame) -> DataFrame:
@@ -640,7 +641,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     named_by = by_set.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     smallest = named_by.groupBy("comp").agg(F.min("least").alias("component_id"))
-    out = stage_table(sets.join(named_by.join(smallest, "comp").select("sid", "component_id"), "sid", "left"), "components")
+    out = stage_table(sets.join(named_by.join(smallest, "comp").select("sid", "component_id", F.col("comp").alias("group")), "sid", "left"), "components")
     for value in shared:
         value.destroy()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), named.alias("component_id"), "group", *(["digest"] if digest is not None else []))

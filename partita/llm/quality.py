@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import mix64, texts
-from partita.llm.toxicity import held_out
+from partita.llm.common import fitted, held_out, mix64, texts
 
 BUCKETS = 1 << 18
 _MASK = np.uint64(BUCKETS - 1)
@@ -126,18 +125,8 @@ def quality(docs: DataFrame, ratings: DataFrame, grade, grades: int, select_abov
     least counts; with no ratings all documents get the same score. Other
     columns are ignored.
     """
-    mine = ratings.select(F.col(id_col).cast("long").alias("i"), grade.cast("int").alias("y")).where(f"i is not null and y between 0 and {grades - 1}")
-    mine = mine.where(~held_out(F.col("i"))).groupBy("i").agg(F.min("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_ROWS)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sample, given, size = [], [], 0
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("text")).join(mine, "i").orderBy(F.xxhash64("i"), "i", "text")
-    for row in rows.toLocalIterator():
-        sample.append(row["text"].encode())
-        given.append(row["y"])
-        size += len(sample[-1])
-        if size >= SAMPLE_BYTES:
-            break
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample, given, grades))
+    marks = ratings.select(F.col(id_col).cast("long").alias("i"), grade.cast("int").alias("y")).where(f"y between 0 and {grades - 1}").groupBy("i").agg(F.min("y").alias("y"))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, marks, id_col, text_col, lambda sample, given: fit(sample, given, grades), SAMPLE_ROWS, SAMPLE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,7 +20,7 @@ from partita.llm.toxicity import toxicity
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).drop("group")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

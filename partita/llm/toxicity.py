@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from partita.llm.common import mix64, texts
+from partita.llm.common import fitted, held_out, mix64, texts, with_text
 
 BUCKETS, DIM = 1 << 18, 8
 SIZES = (3, 4, 5)
@@ -159,8 +160,8 @@ def fit(sample: list[bytes], label: list[int], epochs: int = 40, rate: float = 0
             rows = np.flatnonzero(per)
             d_dir = per[rows] @ emb[rows]
             gain = per[rows]
-            emb_g[rows] += gain**2
-            emb[rows] -= step * ((gain / np.sqrt(emb_g[rows]))[:, None] * direction / max(1e-6, np.abs(direction).max()) + decay * emb[rows])
+            emb_g[rows] += (gain * np.abs(direction).max()) ** 2  # one step size a row, by its largest component
+            emb[rows] -= step * ((gain / np.sqrt(emb_g[rows]))[:, None] * direction + decay * emb[rows])
             grad = np.stack([-d_dir, d_dir], 1)
             soft_g += grad**2
             soft -= 0.3 * step * grad / np.sqrt(soft_g)
@@ -169,28 +170,7 @@ def fit(sample: list[bytes], label: list[int], epochs: int = 40, rate: float = 0
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int]]:
-    """At most ``rows`` labelled texts (and about ``size`` bytes) whose crc32 modulo 5 isn't 0, in hash order."""
-    mine = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
-    mine = mine.where(held_out(F.col("i")) == False).groupBy("i").agg(F.max("y").alias("y"))  # noqa: E712
-    mine = mine.orderBy(F.xxhash64("i"), "i").limit(rows)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("text")).join(mine, "i").orderBy(F.xxhash64("i"), "i", "text")
-    out, held = ([], []), 0
-    for row in found.toLocalIterator():
-        held += len(row["text"])
-        out[0].append(row["text"].encode())
-        out[1].append(row["y"])
-        if held >= size:
-            break
-    return out
-
-
-def held_out(doc_id) -> F.Column:
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, whole_rows: bool = False) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     The model is fitted on a bounded sample (``SAMPLE_ROWS``, ``SAMPLE_BYTES``)
@@ -200,14 +180,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     empty string is. Labels other than 0 and 1 are ignored, of contrary labels
     of one identifier the larger counts; without labels of both classes every
     text gets the smoothed share of label 1, 0.25 without any label, so that
-    nothing is rejected on no evidence. Other columns are ignored.
+    nothing is rejected on no evidence. Other columns are ignored; with
+    ``whole_rows`` the input row comes along, as the struct ``row``.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, id_col, text_col, label_col)))
+    marks = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, marks, id_col, text_col, fit, SAMPLE_ROWS, SAMPLE_BYTES))
+
+    given, kinds = with_text(docs, id_col, text_col, whole_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.value.scores(texts(batch.column(2))), pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.value.scores(texts(batch.columns[-1])), pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    scored = narrow.mapInArrow(run, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = given.mapInArrow(run, StructType([*kinds, StructField("score", DoubleType())]))
+    own = [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("score"), (F.col("score") >= threshold).cast("int").alias("predicted")]
+    return scored.select(*own, *(["row"] if whole_rows else []))

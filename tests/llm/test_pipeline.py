@@ -80,3 +80,29 @@ def test_repeated_rows_nulls_and_extra_columns(spark, tmp_path):
     assert counts == [("toxicity", 4), ("exact_dedup", 3), ("ngram_join", 3), ("decontamination", 3), ("mixing", 3)]
     empty = spark.createDataFrame([], SCHEMA)
     assert all(f(spark, empty, str(tmp_path)).count() == 0 for _, f in corpus_pipeline.STAGES)
+
+
+def test_every_row_is_decided_by_itself(spark, tmp_path):
+    """Toxic rows without identifier go, clean rows that repeat a toxic or contaminated row's identifier stay; so do columns of any name."""
+    rows, labels, items, toxic = planted()
+    bad, passage, texts = next(rows[k][1] for k in toxic), items[0][1], [r[1] for r in rows]
+    given = [
+        (None, bad, "en", "a", 1, "x", 1), (207, bad, "en", "a", 1, "x", 1), (207, texts[5], "en", "a", 1, "x", 1),
+        (208, passage, "en", "a", 1, "x", 1), (208, texts[6], "en", "a", 1, "x", 1), (None, passage + " more", "en", "a", 1, "x", 1), (None, texts[7], "en", "a", 1, "x", 1),
+        (None, texts[8], "en", "a", 1, "x", 1), (None, texts[8] + " z", "en", "a", 1, "x", 1), (209, texts[9] + " y", "en", "a", 1, "x", 1), (209, texts[9], "en", "a", 1, "x", 1),
+    ]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    schema = SCHEMA + ", row string, key int"
+    texts_of = lambda df: sorted(r["text"] or "" for r in df.collect())
+    known = spark.createDataFrame([(*r, "x", 1) for r in rows], schema)
+    every = known.unionByName(spark.createDataFrame(given, schema))
+    left = stage["toxicity"](spark, every, str(tmp_path))
+    assert left.columns == every.columns and bad not in texts_of(left) and texts_of(left).count(texts[5]) == 2
+    clean = spark.createDataFrame(given[2:], schema)
+    assert texts_of(stage["decontamination"](spark, clean, str(tmp_path))) == sorted(r[1] for r in given[2:] if passage not in r[1])
+    near = texts_of(stage["ngram_join"](spark, clean, str(tmp_path)))
+    assert len(near) == 6 and texts[5] in near and texts[6] in near and passage in near and passage + " more" not in near
+    assert stage["ngram_join"](spark, clean, str(tmp_path)).columns == clean.columns == stage["exact_dedup"](spark, clean, str(tmp_path)).columns
