@@ -19,13 +19,26 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
+def _marker(literal: str) -> str:
+    """What of a literal must not stand in a text: the literal without white space around it, if that can't overlap itself; else its first sign."""
+    mark = literal.strip() or literal
+    return mark[:1] if any(mark[:k] == mark[-k:] for k in range(1, len(mark))) else mark
+
+
 @dataclass(frozen=True)
 class Template:
-    """``open``/``close`` frame a turn (``{role}`` is replaced); ``loss`` names the roles whose text is trained on.
+    """``open``/``close`` frame a turn (``{role}`` stands for the role); ``loss`` names the roles whose text is trained on.
 
     ``start`` and ``steps`` are the machine: the roles that may come first and
     those that may follow each role. A role without steps of its own may follow
     and be followed by none; such a turn is emitted all the same and reported.
+
+    Everything else follows from these. The control strings are the literals of
+    ``open`` and ``close``; where one begins inside a text, its first sign is
+    replaced by the escape sign and a sign that stands for it, so that no text
+    holds a control string and reading back is exact. A template that can't be
+    read back (no role, nothing after the role, no close, an escape sign that is
+    part of a control string) is refused.
     """
 
     open: str = "### {role}: "
@@ -37,27 +50,43 @@ class Template:
     steps: dict[str, frozenset[str]] = field(default_factory=lambda: {"system": frozenset({"user"}), "user": frozenset({"assistant"}), "assistant": frozenset({"user"})})
     end: frozenset[str] = frozenset({"assistant"})
 
-    def protect(self, text: str) -> str:
-        """Every escape sign, ``###`` and ``</turn>`` gets an escape sign before it."""
-        return _CONTROL.sub(lambda m: self.escape + m[0], text)
+    def __post_init__(self):
+        before, role, after = self.open.partition("{role}")
+        marks = [_marker(x) for x in (before, after, self.close)]
+        if not role or not after or not self.close or len(self.escape) != 1 or any(self.escape in x for x in (before, after, self.close, *self.names.values())):
+            raise ValueError("a template needs a role, a literal after it, a close, and an escape sign of its own")
+        if any(marks[1] in x for x in self.names.values()) or len(set(self.names.values())) < len(self.names):
+            raise ValueError("the names of roles must differ and not hold what ends a role")
+        # Signs that stand for the first signs of control strings, none of them part of one.
+        firsts = sorted({m[0] for m in marks if m})
+        free = (c for c in "0123456789abcdefghijklmnopqrstuvwxyz" if not any(c in m for m in marks))
+        codes = {c: next(free) for c in firsts}
+        hold = object.__setattr__
+        hold(self, "before", before)
+        hold(self, "after", after)
+        hold(self, "_itself", next(free))
+        hold(self, "_codes", codes)
+        hold(self, "_signs", {v: k for k, v in codes.items()} | {self.escape: self.escape, self._itself: ""})
+        hold(self, "_in_text", self._finder(marks[0], marks[2]))
+        hold(self, "_in_role", self._finder(*marks))
+
+    def _finder(self, *marks: str) -> re.Pattern:
+        begins = [re.escape(m[0]) + (f"(?={re.escape(m[1:])})" if m[1:] else "") for m in marks if m]
+        return re.compile("|".join([re.escape(self.escape), *begins]))
+
+    def protect(self, text: str, role: bool = False) -> str:
+        """Each escape sign is doubled, and the first sign of each control string replaced by the escape sign and its code."""
+        return (self._in_role if role else self._in_text).sub(lambda m: self.escape + self._codes.get(m[0], self.escape), text)
 
     def restore(self, text: str) -> str:
-        return _ESCAPED.sub(lambda m: m[1], text)
-
-
-#: The control strings of the template, and what they look like escaped.
-_CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)")
-_ESCAPED = re.compile(r"\\([\\#<])")
-_HEAD = re.compile(r"### ((?:\\.|[^:\\])*): ")
-_TAIL = " </turn>\n"
-
+        return re.sub(re.escape(self.escape) + "(.)", lambda m: self._signs[m[1]], text, flags=re.S)
 
-def _head_of(role: str, template: Template) -> str:
-    """A role as it stands in a turn's head: its shown name, or itself escaped, so that any string is a possible role."""
-    if role in template.names:
-        return template.names[role]
-    shown = re.sub(r"[\\:#<]", lambda m: "\\" + m[0], role)
-    return "\\" + shown if shown in template.names.values() else shown
+    def head(self, role: str) -> str:
+        """A role as it stands in a turn's head: its shown name, or itself escaped, so that any string is a possible role."""
+        if role in self.names:
+            return self.names[role]
+        shown = self.protect(role, role=True)
+        return self.escape + self._itself + shown if shown in self.names.values() else shown
 
 
 def segments(turns: list[tuple[str, str]], template: Template) -> tuple[list[tuple[str, bool]], str | None]:
@@ -68,7 +97,7 @@ def segments(turns: list[tuple[str, str]], template: Template) -> tuple[list[tup
         allowed = template.start if state is None else template.steps.get(state, frozenset())
         if fault is None and role not in allowed:
             fault = f"turn {i}: {role or 'no role'} after {state or 'the start'}"
-        out.append((template.open.format(role=_head_of(role, template)), False))
+        out.append((template.before + template.head(role) + template.after, False))
         out.append((template.protect(text), role in template.loss))
         out.append((template.close, False))
         state = role
@@ -82,15 +111,16 @@ def read_back(formatted: str, template: Template) -> list[tuple[str, str]]:
     roles = {shown: role for role, shown in template.names.items()}
     out, at = [], 0
     while at < len(formatted):
-        head = _HEAD.match(formatted, at)
-        if head is None:
+        begin = at + len(template.before)
+        over = formatted.find(template.after, begin)
+        if not formatted.startswith(template.before, at) or over < 0:
             raise ValueError(f"no turn opens at {at}")
-        end = formatted.find(_TAIL, head.end())
+        end = formatted.find(template.close, over + len(template.after))
         if end < 0:
             raise ValueError(f"the turn at {at} does not close")
-        role = roles[head[1]] if head[1] in roles else re.sub(r"\\(.)", r"\1", head[1], flags=re.S)
-        out.append((role, template.restore(formatted[head.end() : end])))
-        at = end + len(_TAIL)
+        shown = formatted[begin:over]
+        out.append((roles[shown] if shown in roles else template.restore(shown), template.restore(formatted[over + len(template.after) : end])))
+        at = end + len(template.close)
     return out
 
 

@@ -12,14 +12,32 @@ HOSTILE = ["", " ", "\\", "\\\\", "#", "##", "###", "####", "\\###", "</turn>",
 ROLES = ["system", "user", "assistant", "Assistant", "tool", "", "a: b", "\\", "### x", "{role}", "x\ny"]
 
 
-def test_round_trip_of_hostile_texts():
+TEMPLATES = [
+    Template(),
+    Template(open="<|im_start|>{role}\n", close="<|im_end|>\n", names={}, escape="~"),
+    Template(open="{role}>>", close="\n\n", names={"user": "Human", "assistant": "AI"}, escape="%"),
+    Template(open="[{role}]\n", close="aXa", names={"user": "u0"}, escape="^"),
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_round_trip_of_hostile_texts(template):
+    """Any roles and texts, those made of the template's own signs first of all, come back; no text holds a control string."""
     rng = random.Random(9)
-    template = Template()
+    signs = [template.before, template.after, template.close, template.escape, template.close[:-1], template.close[1:], template.close * 2, template.escape + "0", template.escape + "2", template.before + "user" + template.after + "x" + template.close]
+    hostile, roles = HOSTILE + signs, [*ROLES, *signs, *template.names.values(), template.escape + "2Human"]
     for _ in range(3000):
-        turns = [(rng.choice(ROLES), "".join(rng.choice(HOSTILE) for _ in range(rng.randrange(4)))) for _ in range(rng.randrange(5))]
+        turns = [(rng.choice(roles), "".join(rng.choice(hostile) for _ in range(rng.randrange(4)))) for _ in range(rng.randrange(5))]
         pieces, _ = segments(turns, template)
         assert read_back("".join(x for x, _ in pieces), template) == turns
         assert [template.restore(x) for x, loss in pieces if loss] == [t for r, t in turns if r == "assistant"]
+        assert not any(template.close in x for x, _ in pieces[1::3])
+
+
+@pytest.mark.parametrize("wrong", [{"open": "user: "}, {"open": "<{role}"}, {"close": ""}, {"escape": "#"}, {"names": {"user": "a: b"}}, {"names": {"user": "x", "assistant": "x"}}])
+def test_templates_that_cannot_be_read_back_are_refused(wrong):
+    with pytest.raises(ValueError):
+        Template(**wrong)
 
 
 @pytest.mark.parametrize("roles, legal", [("sua", True), ("ua", True), ("uaua", True), ("a", False), ("uua", False), ("su", False), ("usa", False), ("", False), ("uat", False)])
