@@ -3,9 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.data import AWKWARD, collected, docs
 
+from partita.llm import exact_dedup as exact
 from partita.llm import ngram_join
 from partita.llm.exact_dedup import exact_dedup
 from partita.llm.ngram_join import bitmap, block_links, brief, is_candidate, linked, may_link, ngram_components, shingle_sets
@@ -42,6 +44,32 @@ def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_of_rows_without_identifiers(spark):
+    rows = [(None, f"{k % 7} {k % 3}", "s", "x") for k in range(60)] + [((1 << 63) - 1, "0 0", "s", "x"), (0, "1 1", "s", "x"), (0, "11 ", "s", "x"), (0, "2 2", "s", "x")]
+    for digest_bytes in (32, 1):
+        assert collected(exact_dedup(docs(spark, rows).repartition(5), digest_bytes=digest_bytes, memtable_bytes=700)) == exact_by_hand(rows)
+
+
+@pytest.mark.parametrize("width", [32, 2])
+def test_compaction(monkeypatch, width):
+    """One entry for each digest with the best row of all runs, sorted; and none of it without the filters."""
+    rng = random.Random(width)
+    rows = [(rng.choice([None, *range(500)]), rng.choice("abc") * rng.randrange(40) + " " * rng.randrange(3)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+    blocks = [x for b in exact._memtables(iter([batch]), width, 4000, 1) for x in b.column("block").to_pylist() if x]
+    assert len(blocks) > 20
+    level, numbers, shas, into = exact.compact(blocks, width)
+    by = {}
+    for k, (doc, text) in enumerate(rows):
+        sha = hashlib.sha256(text.replace(" ", "").encode()).digest()
+        by.setdefault(sha[:width] + b"\1", []).append((-len(text), doc is None, doc or 0, k))
+    assert level.keys.tolist() == sorted(by) and level.rows.tolist() == [len(by[k]) for k in sorted(by)]
+    assert [tuple(x) for x in (numbers[level.best][:, 3:7] * [-1, 1, 1, 1]).tolist()] == [min(by[k]) for k in sorted(by)]
+    assert all(shas[k][:width] == shas[into[k]][:width] and into[into[k]] == into[k] for k in range(len(into))) and len(set(into.tolist())) == len(by)
+    monkeypatch.setattr(exact, "_maybe", lambda bloom, keys: np.zeros(len(keys), bool))
+    assert len(exact.compact(blocks, width)[0].keys) > len(by)
+
+
 def shingles(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
