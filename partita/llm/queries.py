@@ -149,7 +149,7 @@ ORACLES = {
         WITH RECURSIVE d AS (
           SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
             -ln((('0x' || substr(md5('mix:' || doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0)
-              / greatest(0.1 + length(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')) / greatest(length(coalesce(text, '')), 1), 1e-9) AS key
+              / greatest(0.1 + length(regexp_replace(coalesce(text, ''), '[^\p{L}]+', '', 'g')) / greatest(length(coalesce(text, '')), 1), 1e-9) AS key
           FROM documents
         ), s AS (
           SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source

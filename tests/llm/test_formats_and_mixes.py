@@ -6,7 +6,7 @@ from llm.data import docs
 from pyspark.sql import functions as F
 
 from partita.llm.chat_format import HOSTILE_TEXT, Template, digests, format_chats, hostile_conversation, read_back, segments
-from partita.llm.mixing import mix_sources, source_targets
+from partita.llm.mixing import _share_below, mix_sources, source_targets, uniform
 
 HOSTILE = ["", " ", "\\", "\\\\", "#", "##", "###", "####", "\\###", "</turn>", " </turn>\n", "\\</turn>", "### User: ", "a\n### Assistant: b </turn>\n", HOSTILE_TEXT, "<", "</", "é日\0"]
 ROLES = ["system", "user", "assistant", "Assistant", "tool", "", "a: b", "\\", "### x", "{role}", "x\ny"]
@@ -111,3 +111,19 @@ def test_awkward_rows(spark):
     assert len(got) == 11 and {r["doc_id"]: r["size"] for r in got}[3] == 0 and all(r["taken"] >= 0 for r in got)
     assert mix_sources(docs(spark, [])).count() == 0
     assert all(r["target"] == 0 and r["taken"] == 0 for r in mix_sources(docs(spark, [(1, None, "a", "x"), (2, " ", None, "x")])).collect())
+
+
+@pytest.mark.parametrize("weight", ["0.1", "5", "if(id % 3 = 0, 0.01, 20)", "1e-9"])
+def test_ranges_are_even_whatever_the_weights(spark, weight):
+    keyed = spark.range(20_000).withColumn("weight", F.expr(weight).cast("double")).withColumn("key", -F.log(uniform(F.col("id"))) / F.col("weight"))
+    counts = sorted(r["count"] for r in keyed.groupBy(F.floor(_share_below(keyed) * 50)).count().collect())
+    assert sum(counts) == 20_000 and counts[-1] <= 3 * counts[len(counts) // 2] and len(counts) >= 45
+
+
+def test_rows_without_identifiers_and_odd_weights(spark):
+    rows = [(None, f"text {k}", "s", "x") for k in range(400)] + [(k, "a b", "t", "x") for k in range(100)]
+    for weight in ("double('NaN')", "double('inf')", "0", "-1", "null", "if(n_chars > 0, 2, 3)"):
+        got = mix_sources(docs(spark, rows), weight=F.expr(weight), rows_per_range=50).collect()
+        assert len(got) == 500 and abs(sum(r["taken"] for r in got if r["source"] == "s") - got[0]["target"]) <= 1
+    taken = [r["taken"] - r["epochs"] * r["size"] for r in got if r["source"] == "s"]
+    assert 0 < sum(x > 0 for x in taken) < 400 or sum(taken) in (0, 800)
