@@ -135,6 +135,8 @@ def test_longest_common_subsequence():
         held = [x for x, k in zip(a, h.lcs_mask(a, b), strict=True) if k]
         left = iter(b)
         assert all(any(x == y for y in left) for x in held) and len(held) == length(a, b)
+    a, b = ([rng.randrange(40) for _ in range(n)] for n in (700, 500))
+    assert sum(h.lcs_mask(a, b)) == length(a, b)
 
 
 def test_page_lines():
@@ -185,6 +187,51 @@ def test_wrappers_and_attribute_values_are_no_frames():
     assert h.page_lines(f"<p>Short.</p><div id=comments>{story}</div>") == [("Short.", False)] and h.page_lines(f"<div hidden>{story}</div><p>x</p>") == [("x", False)]
 
 
+def test_articles_keep_all_that_only_sounds_like_a_frame():
+    words = ("search-results", "share-price", "menu-of-the-day", "commentary", "notice-of-intent", "ad-hoc", "modal-logic", "social-history", "related-work-survey")
+    page = "<article>" + "".join(f"<div class='{w}'><p>{w}</p></div>" for w in words) + "<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><noscript><p>plain</p></noscript></article>"
+    assert h.page_lines(page) == [(x, True) for x in (*words, "so x=1 holds", "plain")]
+    gone = ("ad-slot-2", "cookie-message", "comments-area", "related-articles", "newsletter-form", "share-buttons", "sidebar-right", "article-comments", "page-footer")
+    assert h.page_lines("<article><p>a</p>" + "".join(f"<div class='{w}'><p>{w}</p></div>" for w in gone) + "</article><noscript>on!</noscript>") == [("a", True)]
+
+
+def test_extraction_equals_brute_force(spark):
+    """Sites of unmarked pages: every page against the neighbour in path order that shares more of its path, by a table of lengths."""
+    rng, rows, want = random.Random(12), [], {}
+    for host in range(4):
+        frames = [f"frame {host} {k}" for k in range(12)]
+        site = []
+        for k in range(rng.randrange(2, 9)):
+            path = f"/{rng.choice(['a', 'b', 'news'])}/{rng.choice(['x', 'yy'])}/{k}"
+            own = [f"own {host} {k} {j}" for j in range(rng.randrange(1, 6))]
+            lines = [x for x in frames if rng.random() < 0.8]
+            at = rng.randrange(len(lines) + 1)
+            lines[at:at] = own
+            site.append((path, lines))
+        site.sort()
+        for k, (path, lines) in enumerate(site):
+            near = [site[j] for j in (k - 1, k + 1) if 0 <= j < len(site)]
+            score = lambda o: (next((i for i, (x, y) in enumerate(zip(path.split("/"), o[0].split("/"))) if x != y), 9), next(i for i, (x, y) in enumerate(zip(path, o[0])) if x != y))  # noqa: B023, B905, E731
+            other = max(near, key=score)[1]
+            table = [[0] * (len(other) + 1) for _ in range(len(lines) + 1)]
+            for i in range(len(lines) - 1, -1, -1):
+                for j in range(len(other) - 1, -1, -1):
+                    table[i][j] = table[i + 1][j + 1] + 1 if lines[i] == other[j] else max(table[i + 1][j], table[i][j + 1])
+            kept, i, j = [], 0, 0
+            while i < len(lines):
+                if j < len(other) and lines[i] == other[j]:
+                    i, j = i + 1, j + 1
+                elif j < len(other) and table[i][j + 1] >= table[i + 1][j]:
+                    j += 1
+                else:
+                    kept.append(lines[i])
+                    i += 1
+            want[len(rows)] = "\n".join(kept)
+            rows.append((len(rows), f"http://h{host}.org{path}", "<body>" + "".join(f"<p>{x}</p>" for x in lines)))
+    got = {r["page_id"]: r["text"] for r in h.extract_pages(pages(spark, rows).repartition(4)).collect()}
+    assert got == want and sum("frame" in x for x in want.values()) < len(rows)
+
+
 def test_heavy_frames_are_deleted_and_copies_skipped(spark):
     frame = "".join(f"<p>Frame line {k}</p>" for k in range(18))
     page = lambda *said: frame + "".join(f"<p>{x}</p>" for x in said)
