@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
-def _marker(literal: str) -> str:
-    """What of a literal must not stand in a text: the literal without white space around it, if that can't overlap itself; else its first sign."""
+def _marker(literal: str, searched: bool) -> str:
+    """What of a literal must not stand in a text: the literal without white space around it; its first sign alone if the reader searches for it and it can overlap itself."""
     mark = literal.strip() or literal
-    return mark[:1] if any(mark[:k] == mark[-k:] for k in range(1, len(mark))) else mark
+    return mark[:1] if searched and any(mark[:k] == mark[-k:] for k in range(1, len(mark))) else mark
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ class Template:
 
     def __post_init__(self):
         before, role, after = self.open.partition("{role}")
-        marks = [_marker(x) for x in (before, after, self.close)]
+        marks = [_marker(before, False), _marker(after, True), _marker(self.close, True)]
         if not role or not after or not self.close or len(self.escape) != 1 or any(self.escape in x for x in (before, after, self.close, *self.names.values())):
             raise ValueError("a template needs a role, a literal after it, a close, and an escape sign of its own")
         if any(marks[1] in x for x in self.names.values()) or len(set(self.names.values())) < len(self.names):
