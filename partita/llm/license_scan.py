@@ -13,6 +13,9 @@ sentences that aren't known don't break it.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,17 +81,97 @@ RULES = [
     *(((f"spdx-{x.lower()}",), x) for x in ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")),
 ]
 
-#: Further forms of sentences in licence texts and notices as they are published; these and LATER are beyond the SQL.
+# Further sentences of licence texts and notices as they are published; these and LATER are beyond the SQL.
 VARIANTS = {
     "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-copy",
     "you may obtain a copy of the license at http www apache org licenses license 2 0 txt": "apache-copy",
     "you may obtain a copy of the license at https www apache org licenses license 2 0 txt": "apache-copy",
+    "apache license version 2 0 january 2004": "apache-title",
     "either version 2 of the license": "gpl-v2",
+    "either version 2 1 of the license": "lgpl-v2.1",
     "either version 3 of the license": "gpl-v3",
     "or at your option any later version": "gpl-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-free",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3-free",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-free",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-free",
+    "this library is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl-copy",
+    "you should have received a copy of the gnu lesser general public license along with this program": "lgpl-copy",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-free",
+    "you should have received a copy of the gnu affero general public license along with this program": "agpl-copy",
     "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-names",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advert",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted": "isc-grant",
+    "provided that the above copyright notice and this permission notice appear in all copies": "isc-keep",
+    "this software is provided as is without any express or implied warranty": "zlib-as-is",
+    "permission is granted to anyone to use this software for any purpose": "zlib-grant",
+    "the origin of this software must not be misrepresented": "zlib-origin",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-grant",
+    "distributed under the boost software license version 1 0": "bsl-notice",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction": "ncsa-grant",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted": "postgresql-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0": "epl1-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution": "epl1-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0": "epl2-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0": "epl2-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0": "epl2-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-notice",
+    "the contents of this file are subject to the terms of the common development and distribution license": "cddl-notice",
+    "the contents of this file are subject to the mozilla public license version 1 1": "mpl1.1-notice",
+    "this library is free software you can redistribute it and or modify it under the terms of the artistic license 2 0": "artistic2-notice",
+    "this font software is licensed under the sil open font license version 1 1": "ofl-notice",
+    "you just do what the fuck you want to": "wtfpl",
+    "this license governs use of the accompanying software": "ms-pl",
+    "this license agreement is between the python software foundation": "psf",
+    "licensed under the eupl version 1 2": "eupl1.2-notice",
+    "licensed under the eupl version 1 2 or later": "eupl1.2-notice",
+    "licensed under a creative commons attribution 4 0 international license": "cc-by-text",
+    "licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-text",
+    "licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-text",
+    "licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd-text",
+    "licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa-text",
+    "licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "cc-by-nc-nd-text",
 }
-LATER = [(("gpl-free", v, "gpl-later", "gpl-hope", "gpl-copy"), n) for v, n in (("gpl-v2", "GPL-2.0-or-later"), ("gpl-v3", "GPL-3.0-or-later"))]
+LATER = [
+    (("apache-title",), "Apache-2.0"),
+    (("gpl-free", "gpl-v2", "gpl-later", "gpl-hope", "gpl-copy"), "GPL-2.0-or-later"),
+    (("gpl-free", "gpl-v3", "gpl-later", "gpl-hope", "gpl-copy"), "GPL-3.0-or-later"),
+    (("gpl2-free",), "GPL-2.0-only"),
+    (("gpl3-free",), "GPL-3.0-only"),
+    (("lgpl-free", "lgpl-v2.1", "gpl-later", "gpl-hope", "lgpl-copy"), "LGPL-2.1-or-later"),
+    (("lgpl-free", "gpl-v3", "gpl-later", "gpl-hope", "lgpl-copy"), "LGPL-3.0-or-later"),
+    (("agpl-free", "gpl-v3", "gpl-later", "gpl-hope", "agpl-copy"), "AGPL-3.0-or-later"),
+    (("mit-grant", "as-is"), "MIT-0"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert"), "BSD-4-Clause"),
+    (("isc-grant",), "0BSD"),
+    (("isc-grant", "isc-keep"), "ISC"),
+    (("zlib-as-is", "zlib-grant", "zlib-origin"), "Zlib"),
+    (("bsl-grant",), "BSL-1.0"),
+    (("bsl-notice",), "BSL-1.0"),
+    (("ncsa-grant",), "NCSA"),
+    (("postgresql-grant",), "PostgreSQL"),
+    (("epl1-notice",), "EPL-1.0"),
+    (("epl2-notice",), "EPL-2.0"),
+    (("cddl-notice",), "CDDL-unversioned"),
+    (("mpl1.1-notice",), "MPL-1.1"),
+    (("artistic2-notice",), "Artistic-2.0"),
+    (("ofl-notice",), "OFL-1.1"),
+    (("wtfpl",), "WTFPL"),
+    (("ms-pl",), "MS-PL"),
+    (("psf",), "Python-2.0"),
+    (("eupl1.2-notice",), "EUPL-1.2"),
+    (("cc-by-text",), "CC-BY-4.0"),
+    (("cc-by-sa-text",), "CC-BY-SA-4.0"),
+    (("cc-by-nc-text",), "CC-BY-NC-4.0"),
+    (("cc-by-nd-text",), "CC-BY-ND-4.0"),
+    (("cc-by-nc-sa-text",), "CC-BY-NC-SA-4.0"),
+    (("cc-by-nc-nd-text",), "CC-BY-NC-ND-4.0"),
+]
+
+#: Every known sentence holds one of these; most sentences of a corpus hold none and are left at that.
+STEMS = "licen|permi|warrant|right|publi|softw|redistrib|endorse|identif|option|just do"
 
 #: A sentence ends at white space after `.`, `!` or `?`, but not after "v.".
 SENTENCE_END = r"(?<=[.!?])(?<!\b[vV]\.)[\x20\t\x0B\f\r\n]+"
@@ -99,8 +182,7 @@ _LEAD = r"\b((?:this|the) (?:code|software|project|program|file|package|library|
 def known_sentences(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
     known = {s: i for i, s in SENTENCES.items()} | VARIANTS
-    # A sentence can only be known if it has one of these words; most have none.
-    some = F.filter(F.split(text, SENTENCE_END), lambda s: F.lower(s).rlike("licen|permi|warrant|right|publi|softw|redistrib|endorse|program|identif|option"))
+    some = F.filter(F.split(text, SENTENCE_END), lambda s: F.lower(s).rlike(STEMS))
 
     def signs(s: Column) -> Column:
         s = F.regexp_replace(F.lower(s), "[^a-z0-9\\n;:,()\"\u201c\u201d]+", " ")
@@ -117,7 +199,8 @@ def known_sentences(text: Column) -> Column:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, sentences, n_known, licenses`` for every row: known sentence identifiers in order, their number, and the licences found, sorted.
 
-    A rule that a longer matching rule begins with counts as part of it. Null
+    Where a longer rule matches, a rule that it begins with doesn't match as well,
+    but may elsewhere in the text. Null
     and empty texts have no sentences. Repeated rows and null identifiers are
     scanned like others; other columns are ignored; an empty table gives no rows.
     """
@@ -125,15 +208,16 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = F.concat(F.lit(","), F.array_join("sentences", ","), F.lit(","))
     found = found.withColumn("path", path)
 
-    def stands(rule: tuple[str, ...]) -> Column:
-        return F.contains(F.col("path"), F.lit(f",{','.join(rule)},"))
+    def times(rule: tuple[str, ...]) -> Column:
+        return F.regexp_count("path", F.lit(f",{re.escape(','.join(rule))}(?=,)"))
 
     hits = []
     for rule, name in RULES + LATER:
-        hit = stands(rule)
-        for longer, _ in RULES + LATER:
-            if len(longer) > len(rule) and longer[: len(rule)] == rule:
-                hit &= ~stands(longer)
+        longer = [r for r, _ in RULES + LATER if len(r) > len(rule) and r[: len(rule)] == rule]
+        if longer:
+            hit = times(rule) > reduce(Column.__add__, map(times, longer))
+        else:
+            hit = F.contains("path", F.lit(f",{','.join(rule)},"))
         hits.append(F.when(hit, F.lit(name)))
     licenses = F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
     return found.select("doc_id", "sentences", F.size("sentences").cast("long").alias("n_known"), licenses.alias("licenses"))

@@ -6,6 +6,7 @@ from llm.data import AWKWARD, docs
 
 from partita.llm import decontaminate as d
 from partita.llm import html_extract as h
+from partita.llm import license_scan as licences
 from partita.llm import pii
 from partita.llm.license_scan import license_scan
 
@@ -305,6 +306,56 @@ MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
  * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
 
 
+LGPL = GPL.replace("General", "Lesser General").replace("version 3", "version 2.1").replace("This program", "This library").replace("this program", "this library")
+AGPL = GPL.replace("General", "Affero General")
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software."""
+BSL = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute"""
+EPL = """ * This program and the accompanying materials are made available under the
+ * terms of the Eclipse Public License 2.0 which is available at
+ * https://www.eclipse.org/legal/epl-2.0/
+ *
+ * SPDX-License-Identifier: EPL-2.0"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"""
+BSD4 = BSD + """
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement: This product includes software."""
+MIT0 = MIT[: MIT.index(", subject to")] + ".\n" + MIT[MIT.index("\nTHE SOFTWARE") :]
+
+
+def test_stems_leave_no_sentence_out():
+    assert all(re.search(licences.STEMS, x) for x in [*licences.SENTENCES.values(), *licences.VARIANTS])
+    known = {*licences.SENTENCES, *licences.VARIANTS.values()}
+    assert all(i in known for rule, _ in licences.RULES + licences.LATER for i in rule) and not set(licences.SENTENCES.values()) & set(licences.VARIANTS)
+
+
+def test_more_licences_and_comment_leaders(spark):
+    given = [(LGPL, "LGPL-2.1-or-later"), (AGPL, "AGPL-3.0-or-later"), (ISC, "ISC"), (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), "0BSD"), (ZLIB, "Zlib"), (BSL, "BSL-1.0"), (EPL, "EPL-2.0"), (UNLICENSE, "Unlicense"), (BSD4, "BSD-4-Clause"), (MIT0, "MIT-0"), (GPL.replace("version 3", "version 2"), "GPL-2.0-or-later"),
+             ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0")]
+    texts = [(x, [n]) for x, n in given] + [(BSD + "\nAnd for the rest:\n" + BSD + BSD3, ["BSD-2-Clause", "BSD-3-Clause"]), (BSD + BSD3 + "\n" + BSD + BSD3, ["BSD-3-Clause"])]
+    for lead in ("", "// ", "# ", " * ", "-- ", "; "):
+        led = ["\n".join((lead + x).rstrip() for x in t.split("\n")) for t, _ in texts]
+        got = {r["doc_id"]: r["licenses"] for r in license_scan(docs(spark, [(k, t, "s", "x") for k, t in enumerate(led)])).collect()}
+        assert [got[k] for k in range(len(texts))] == [n for _, n in texts], lead
+
+
 def test_licence_texts_as_they_are_published(spark):
     given = [(APACHE, "Apache-2.0"), (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + BSD3, "BSD-3-Clause"), (GPL, "GPL-3.0-or-later"), (MPL, "MPL-2.0"), ("This code is licensed under the MIT license.", "MIT"), ("x\r\nReleased under\r\nthe MIT License\r\ny", "MIT")]
     got = {r["doc_id"]: (r["sentences"], r["licenses"]) for r in license_scan(docs(spark, [(k, t, "s", "x") for k, (t, _) in enumerate(given)])).collect()}
