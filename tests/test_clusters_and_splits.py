@@ -42,9 +42,12 @@ def test_components_of_a_random_graph(spark):
     for a, b in edges:
         x, y = root(a), root(b)
         parent[max(x, y)] = min(x, y)
-    got = dict(connected_components(spark.createDataFrame(edges, "src int, dst int")).collect())
-    assert got == {x: root(x) for x in parent}
-    assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
+    for small in (10**6, 0):
+        got = dict(connected_components(spark.createDataFrame(edges, "src int, dst int"), small=small).collect())
+        assert got == {x: root(x) for x in parent}
+        assert connected_components(spark.createDataFrame([], "src int, dst int"), small=small).count() == 0
+    named = spark.createDataFrame([(f"é{a}", f"b{b}") for a, b in edges], "src string, dst string")
+    assert sorted(connected_components(named).collect()) == sorted(connected_components(named, small=0).collect())
 
 
 def test_bridges_identity_and_gates(spark):
