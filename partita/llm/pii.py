@@ -45,6 +45,7 @@ _DOT = r"(?:\.|\x20?[\[(](?:\.|dot)[\])]\x20?|\x20dot\x20)"
 _DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])")
 _COLONS = re.compile(r"[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}")
 _AT = re.compile(r"@|\x20?[\[(]at[\])]\x20?|\x20at\x20", re.I)
+_BOTH = re.compile(r"[^@]@+[^@]")
 _NAME = re.compile(r"[\w.+%-]{1,64}\Z")
 _HOST = re.compile(rf"[\w-]{{1,63}}(?:{_DOT}[\w-]{{1,63}}){{1,6}}", re.I)
 
@@ -52,6 +53,10 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 ROUNDS, MIN_SEEDS, THRESHOLD = 3, 3, 0.8
+#: Characters on either side of an instance in which its neighbouring words are read: what a lexical context is.
+CONTEXT = 60
+#: Parts into which the rows of one pattern are dealt where patterns are joined.
+SALT = 16
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -112,12 +117,12 @@ def fits(kind: str, text: str) -> bool:
     return 7 <= digits <= 15 if kind == "phone" else 12 <= digits <= 19 if kind == "card" else True
 
 
-def contexts(text: str, start: int, end: int, what: str) -> list[str]:
+def contexts(text: str, start: int, end: int, what: str, reach: int = CONTEXT) -> list[str]:
     """The patterns of an instance: the words on its sides, alone and together, with its coarse type."""
-    left = text[max(0, start - 60) : start].split()
-    right = text[end : end + 60].split()
-    before = re.sub("[0-9]+", "0", left[-1].lower())[-30:] if left else ""
-    after = re.sub("[0-9]+", "0", right[0].lower())[:30] if right else ""
+    left = text[max(0, start - reach) : start].split()
+    right = text[end : end + reach].split()
+    before = re.sub("[0-9]+", "0", left[-1].lower()) if left else ""
+    after = re.sub("[0-9]+", "0", right[0].lower()) if right else ""
     return [f"{x}\t{what}" for x, there in ((f"<{before}", left), (f">{after}", right), (f"={before} {after}", left and right)) if there]
 
 
@@ -145,7 +150,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         found += [m.span() for m in _DOTTED.finditer(text)] + [m.span() for m in _GROUPS.finditer(text)]
     for first, last in tokens(text):
         token = text[first:last].strip("\"'()[]{}<>,;:.!?|")
-        if len(token) >= 6:
+        if "@" not in token or _BOTH.search(token):
             start = text.index(token, first)
             found.append((start, start + len(token)))
     return sorted({x for x in found if coarse(text[slice(*x)])}, key=lambda x: (x[0] - x[1], x))
@@ -191,6 +196,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(_TYPES), _TYPES, strict=True)], _NAMES)
 
 
+def _by_pattern(rows: DataFrame, patterns: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """``rows`` joined with the fewer ``patterns``; the rows of a common pattern are dealt into SALT parts by ``spread``."""
+    copies = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int")).join(copies, [*on, "salt"]).drop("salt")
+
+
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """``(pattern, kind, score)`` from ``(pattern, instance, seed, fits, n)``, scored in rounds over the graph."""
     edges = checkpointed(edges)
@@ -199,12 +210,12 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
     enough = checkpointed(enough)
     total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
     total = checkpointed(total.join(enough.select("pattern").distinct(), "pattern", "left_semi"))
-    graph = checkpointed(edges.groupBy("pattern", "instance", "fits").agg(F.sum("n").alias("n")).join(enough, "pattern").where(F.array_contains("fits", F.col("kind"))))
+    graph = checkpointed(edges.groupBy("pattern", "instance", "fits").agg(F.sum("n").alias("n")).transform(lambda g: _by_pattern(g, enough, ["pattern"], "instance")).where(F.array_contains("fits", F.col("kind"))))
     known, patterns = seeds, None
     for _ in range(rounds):
         found = graph.join(known, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("s")).alias("w"))
         patterns = checkpointed(found.join(total, "pattern").select("pattern", "kind", (F.col("w") / F.col("total")).alias("score")))
-        spread = graph.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("score").alias("s"))
+        spread = _by_pattern(graph, patterns, ["pattern", "kind"], "instance").groupBy("instance", "kind").agg(F.max("score").alias("s"))
         known = checkpointed(spread.unionByName(seeds).groupBy("instance", "kind").agg(F.max("s").alias("s")))
     return patterns
 
@@ -214,7 +225,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``counts`` are the numbers of strict matches by kind, ``base`` their spans
     as ``kind:start:end``, ``spans`` those and the ones that patterns add, by
-    kind, then start. Positions are code points of the whole text. Null texts
+    kind, then start. Positions are code points of the whole text. A context is
+    the next word on either side, read ``CONTEXT`` characters far; names and
+    host labels have the 64 and 63 characters that their standards allow.
+    An instance is spans of a coarse type of any length. Null texts
     are empty and have no spans. Rows that repeat an identifier are reported
     one by one; other columns are ignored; an empty table gives no rows.
     """
@@ -225,7 +239,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = hits.groupBy("pattern", "instance", "seed", "fits").agg(F.count("*").alias("n"))
     patterns = score_patterns(edges, rounds, min_seeds).where(F.col("score") >= threshold)
     best = F.max(F.struct("score", "kind")).alias("b")
-    new = hits.where("seed is null").join(patterns, "pattern").where(F.array_contains("fits", F.col("kind"))).groupBy("uid", "span_start", "span_end").agg(best)
+    new = _by_pattern(hits.where("seed is null"), patterns, ["pattern"], "uid").where(F.array_contains("fits", F.col("kind"))).groupBy("uid", "span_start", "span_end").agg(best)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("b.kind"))
     new = new.groupBy("uid").agg(F.collect_list(F.struct(rank.alias("rank"), "span_start", "span_end")).alias("added"))
     out = own.join(new, "uid", "left")
