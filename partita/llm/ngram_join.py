@@ -296,18 +296,20 @@ class Postings:
         return np.cumsum(new) - 1
 
     def packed(self) -> bytes:
-        return b"".join(x.tobytes() for x in (self.token, self.owner, self.size.astype(np.uint32), self.reach.astype(np.uint32), self.speaks))
+        # Bytes of one weight together: the high ones of sizes and places are zeros, which the shuffle compresses away.
+        planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T) for x in (self.size, self.size - self.reach)]
+        return b"".join(x.tobytes() for x in (self.token, self.owner, *planes, self.speaks))
 
     @staticmethod
     def unpacked(blocks: list[bytes]) -> Postings:
         parts: list[list[np.ndarray]] = [[], [], [], [], []]
         for block in blocks:
-            n, at = len(block) // 25, 0
-            for part, kind in zip(parts, (np.uint64, np.int64, np.uint32, np.uint32, np.bool_), strict=True):
-                part.append(np.frombuffer(block, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-        token, owner, size, reach, speaks = (np.concatenate(x) for x in parts)
-        return Postings(token, owner, size.astype(np.int64), reach.astype(np.int64), speaks)
+            n = len(block) // 25
+            size, place = (np.ascontiguousarray(np.frombuffer(block, np.uint8, 4 * n, k * n).reshape(4, n).T).view("<u4").ravel().astype(np.int64) for k in (16, 20))
+            found = np.frombuffer(block, np.uint64, n), np.frombuffer(block, np.int64, n, 8 * n), size, size - place, np.frombuffer(block, np.bool_, n, 24 * n)
+            for part, x in zip(parts, found, strict=True):
+                part.append(x)
+        return Postings(*map(np.concatenate, parts))
 
 
 def _least(run: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -346,10 +348,12 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, class
         size = np.repeat(np.array([n for _, n in owners], np.int64), lengths)
         place = np.arange(len(size)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         every = Postings(np.concatenate(tokens), np.repeat(np.array([s for s, _ in owners], np.int64), lengths), size, size - place, np.zeros(len(size), bool))
-        every = every.at(np.argsort(every.token, kind="stable"))
-        run = every.runs()
+        order = np.argsort(every.token, kind="stable")
+        run = every.at(order).runs()
         heavy = np.bincount(run)[run] > most
-        pieces, told = every.at(heavy), every.at(~heavy)
+        others = np.ones(len(every), bool)
+        others[order[heavy]] = False
+        pieces, told = every.at(order[heavy]), every.at(others)
         if len(pieces):
             run = pieces.runs()
             speakers = pieces.at(np.unique(np.concatenate([*_leaders(pieces, run), _least(run, pieces.size)])))
