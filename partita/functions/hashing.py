@@ -33,6 +33,12 @@ def blake2b_hex8(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())
 
 
+@F.pandas_udf(StringType())
+def blake2b_hex1(text: pd.Series) -> pd.Series:
+    """Hex of 8 bits."""
+    return text.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=1).hexdigest())
+
+
 @F.pandas_udf(DoubleType())
 def blake2b_unit(text: pd.Series) -> pd.Series:
     """The 64-bit digest as a big-endian number over 2**64."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from partita.functions.hashing import blake2b_hex1
+
 # Metal words of annotations and their symbols.
 METAL_WORDS = {
     "nickel": "NI", "cobalt": "CO", "zinc": "ZN", "iron": "FE", "ferrous": "FE", "ferric": "FE", "magnesium": "MG", "manganese": "MN", "calcium": "CA",
@@ -66,12 +68,13 @@ def entry_of_chain(chain: Column) -> Column:
 
 
 def run_spans(seq: Column, residue: str = "H", min_run: int = 4, window: int = 20) -> Column:
-    """1-based ``(start, stop)`` of runs that reach into either end of a sequence."""
+    """1-based ``(start, stop)`` of runs that reach into either end of a sequence, if an end holds a long enough run by itself."""
     text = F.upper(F.coalesce(seq, F.lit("")))
     places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     starts = F.filter(places, lambda k: (F.substring(text, k, F.lit(1)) == residue.upper()) & ((k == 1) | (F.substring(text, k - 1, F.lit(1)) != residue.upper())))
     spans = F.transform(starts, lambda k: F.struct(k.alias("start"), (k - 1 + F.length(F.regexp_extract(F.substring(text, k, F.length(text)), f"^({residue.upper()}+)", 1))).alias("stop")))
-    return F.filter(spans, lambda s: (s["stop"] - s["start"] + 1 >= min_run) & ((s["start"] <= window) | (s["stop"] > F.length(text) - window)))
+    held = F.filter(spans, lambda s: (s["stop"] - s["start"] + 1 >= min_run) & ((s["start"] <= window) | (s["stop"] > F.length(text) - window)))
+    return F.when(terminal_run(text, residue, window) >= min_run, held).otherwise(F.slice(spans, 1, 0))
 
 
 def release_date(stamp: Column) -> Column:
@@ -84,6 +87,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def core_id(entry_id: Column) -> Column:
     """A lower-case identifier without its archive prefix."""
+    # The prefixes.
     low = F.lower(entry_id)
     return F.when(low.rlike("^pdb_0000."), F.substring(low, 9, 1000)).when(low.startswith("pdb_"), F.substring(low, 5, 1000)).otherwise(low)
 
@@ -95,5 +99,5 @@ def file_name(entry_id: Column, assembly: bool) -> Column:
 def relative_path(entry_id: Column, split: Column, assembly: bool) -> Column:
     """``structures/<split>/<shard>/<file>``; the shard is the second and third letter, or a hash of a shorter core."""
     core = core_id(entry_id)
-    shard = F.when(F.length(core) >= 3, F.substring(core, 2, 2)).otherwise(F.substring(F.md5(core), 1, 2))
+    shard = F.when(F.length(core) >= 3, F.substring(core, 2, 2)).otherwise(blake2b_hex1(F.when(F.length(core) < 3, core)))
     return F.concat_ws("/", F.lit("structures"), split, shard, file_name(entry_id, assembly))

@@ -117,9 +117,10 @@ def enforce_minimums(assigned: DataFrame, sized: DataFrame, class_counts: DataFr
         open_ = now.where("split <> 'test'").join(counts, "component").join(sized.select("component", "size", "bucket", "pin"), "component").where("pin is null and n > 0")
         if cap_share is not None:
             open_ = open_.where(F.col("size") <= cap_share * total)
-        # A unit order by size, then bucket: one range for each power of two of the size.
-        unit = (F.least(F.floor(F.log2("size")), F.lit(62)) / 64).cast("double")
-        ordered = running_before(open_.withColumn("unit", unit), "n", "unit", ["size", "bucket", "component"], "before", 64)
+        # A unit order by size, then bucket: each size has the stretch between its logarithm and the next one's.
+        low, high = F.log2("size") / 64, F.log2(F.col("size") + 1) / 64
+        unit = F.least(low + F.col("bucket") * (high - low), high)
+        ordered = running_before(open_.withColumn("unit", unit), "n", "unit", ["size", "bucket", "component"], "before")
         recruited = checkpointed(ordered.where(F.col("before") + have < minimums[label]).select("component", "n"))
         got = recruited.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if have + got < minimums[label]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.functions.text import longest_run
+from partita.session import stage_table
+
 
 def list_sizes(lists: DataFrame) -> DataFrame:
     """``(list, total, distinct, duplicates)`` from ``(list, id)``."""
@@ -70,11 +73,14 @@ def fan_out_by_threshold(rows: DataFrame, item: str, target: str, length: Column
 
 
 def top_k(rows: DataFrame, key: str, k: int, examples: str | None = None, n_examples: int = 8) -> DataFrame:
-    """The ``k`` most frequent keys, ties by key, with their first examples."""
-    counts = [F.count("*").alias("n")]
-    if examples:
-        counts.append(F.slice(F.array_sort(F.collect_set(examples)), 1, n_examples).alias("examples"))
-    return rows.groupBy(key).agg(*counts).orderBy(F.desc("n"), key).limit(k)
+    """The ``k`` most frequent keys, ties by key, with their first examples; only those are ever gathered."""
+    top = rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
+    if not examples:
+        return top
+    held = rows.join(F.broadcast(top.select(key)), key, "left_semi").select(key, examples).distinct()
+    place = F.row_number().over(Window.partitionBy(key).orderBy(examples))
+    first = held.withColumn("__place", place).where(F.col("__place") <= n_examples).groupBy(key).agg(F.array_sort(F.collect_list(examples)).alias("examples"))
+    return top.join(first, key, "left").orderBy(F.desc("n"), key)
 
 
 def drift(counts: DataFrame, fractions: dict[str, float]) -> DataFrame:
@@ -94,3 +100,84 @@ def class_counts(rows: DataFrame, split: str, label: str, entry: str = "entry_id
 def satisfies(rows: DataFrame, group: str, flags: dict[str, Column]) -> DataFrame:
     """For each group, how many rows satisfy each named predicate."""
     return rows.groupBy(group).agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in flags.items()])
+
+
+def novelty_by_class(labels: DataFrame, entry_split: DataFrame, classes: DataFrame, methods: list[str]) -> DataFrame:
+    """``(method, class, split, seen, novel, unclassified)`` of held-out entries, by class and over all (class null).
+
+    ``labels`` is ``(entry_id, method, family)``. An entry is seen by a method if
+    train has one of its families, novel if train has none, unclassified if it
+    has none; ``combined`` takes the families of all methods together.
+    """
+    every = labels.select("entry_id", "method", "family").unionByName(labels.select("entry_id", F.lit("combined").alias("method"), F.concat_ws(":", "method", "family").alias("family"))).distinct()
+    rows = every.join(entry_split.select("entry_id", "split"), "entry_id")
+    train = rows.where("split = 'train'").select("method", "family").distinct().withColumn("hit", F.lit(True))
+    judged = rows.where("split <> 'train'").join(train, ["method", "family"], "left").groupBy("entry_id", "method").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("seen"))
+    asked = entry_split.where("split <> 'train'").select("entry_id", "split", F.explode(F.array(*map(F.lit, [*methods, "combined"]))).alias("method")).join(judged, ["entry_id", "method"], "left")
+    named = asked.join(classes.select("entry_id", "class").distinct(), "entry_id", "left")
+    count = [F.count_if(F.col("seen")).alias("seen"), F.count_if(~F.col("seen")).alias("novel"), F.count_if(F.col("seen").isNull()).alias("unclassified")]
+    by_class = named.where("class is not null").groupBy("method", "class", "split").agg(*count)
+    return by_class.unionByName(asked.groupBy("method", "split").agg(*count).select("method", F.lit(None).cast("string").alias("class"), "split", "seen", "novel", "unclassified"))
+
+
+def class_contamination(tiers: DataFrame, published: DataFrame, k: int = 6) -> DataFrame:
+    """``(class, entries, functional, other, reasons)`` of published class lists ``(entry_id, class)``.
+
+    An entry is functional if one of its components functionally has the class;
+    ``reasons`` are the ``k`` most frequent reasons of the class's components of the others.
+    """
+    rows = published.select("entry_id", "class").distinct().join(tiers.select("entry_id", "tier", "reason", "would_be"), "entry_id", "left")
+    mine = F.col("would_be") == F.col("class")
+    judged = rows.groupBy("class", "entry_id").agg(F.coalesce(F.bool_or(mine & (F.col("tier") == "functional")), F.lit(False)).alias("functional"))
+    counts = judged.groupBy("class").agg(F.count("*").alias("entries"), F.count_if("functional").alias("functional"), F.count_if(~F.col("functional")).alias("other"))
+    why = rows.where(mine).join(judged.where("not functional"), ["class", "entry_id"], "left_semi").groupBy("class", "reason").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "reason"))
+    top = why.withColumn("place", place).where(F.col("place") <= k).groupBy("class").agg(F.array_sort(F.collect_list(F.struct("place", "reason", "n"))).alias("reasons"))
+    return counts.join(top, "class", "left")
+
+
+def tag_audit(sequences: DataFrame, suspects: DataFrame, runs: tuple[int, ...] = (6, 5, 4), residue: str = "H") -> DataFrame:
+    """``(min_run, entries, tagged, fraction)``: of the suspect entries, those with a chain whose longest run reaches each length."""
+    longest = sequences.groupBy("entry_id").agg(F.max(longest_run(F.col("seq"), residue)).alias("run"))
+    rows = suspects.select("entry_id").distinct().join(longest, "entry_id", "left").select(F.coalesce("run", F.lit(0)).alias("run"))
+    counted = rows.agg(F.count("*").alias("entries"), *[F.count_if(F.col("run") >= r).alias(f"r{r}") for r in runs])
+    told = F.explode(F.array(*[F.struct(F.lit(r).alias("min_run"), F.col(f"r{r}").alias("tagged")) for r in runs])).alias("x")
+    return counted.select("entries", told).select("x.min_run", "entries", "x.tagged", F.when(F.col("entries") > 0, F.col("x.tagged") / F.col("entries")).otherwise(0.0).alias("fraction"))
+
+
+def gap_projection(entries: DataFrame, classified: DataFrame, suspect: Column, sampled: Column) -> DataFrame:
+    """One row: suspects are unclassified entries that look as if they had a family; the rate among sampled ones that do is projected on all.
+
+    ``(entries, unclassified, suspects, sampled, confirmed, rate, projected)``; ``sampled`` is null
+    outside of the sample and else says whether the entry has a family after all.
+    """
+    rows = entries.join(classified.select("entry_id").distinct().withColumn("known", F.lit(True)), "entry_id", "left")
+    open_ = F.col("known").isNull()
+    counted = rows.agg(
+        F.count("*").alias("entries"), F.count_if(open_).alias("unclassified"), F.count_if(open_ & suspect).alias("suspects"),
+        F.count_if(open_ & suspect & sampled.isNotNull()).alias("sampled"), F.count_if(open_ & suspect & sampled).alias("confirmed"),
+    )
+    rate = F.when(F.col("sampled") > 0, F.col("confirmed") / F.col("sampled")).otherwise(0.0)
+    return counted.withColumn("rate", rate).withColumn("projected", F.col("rate") * F.col("suspects"))
+
+
+def authority_sweep(keyed_families: DataFrame, keys: DataFrame, methods: list[str]) -> DataFrame:
+    """``(method, covered, components, folded, bridging)``: components by sequences and each authority alone.
+
+    ``keyed_families`` is ``(entry_id, method, family, raw_key)``, ``keys`` is
+    ``(entry_id, raw_key)``. ``folded`` is how many components the authority's
+    families save, ``bridging`` how many families span several components of
+    sequences alone. One clustering for each method, none of them on the driver.
+    """
+    from partita.operators.clusters import bridging_families, components_of
+
+    alone = stage_table(components_of(keys), "sequence_components")
+    base = alone.agg(F.countDistinct("component").alias("base"))
+    out = None
+    for method in methods:
+        mine = keyed_families.where(F.col("method") == method).select("entry_id", "family", "raw_key")
+        merged = components_of(keys, mine).agg(F.countDistinct("component").alias("components"))
+        told = mine.agg(F.countDistinct("entry_id").alias("covered")).crossJoin(merged).crossJoin(base).crossJoin(bridging_families(mine, alone).agg(F.count("*").alias("bridging")))
+        row = told.select(F.lit(method).alias("method"), "covered", "components", (F.col("base") - F.col("components")).alias("folded"), "bridging")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -41,10 +41,9 @@ def chain_keys(chain: DataFrame) -> DataFrame:
     Chains outside of clusters always key an entry that has nothing else: by
     those with known residues, or by all of them if none has any.
     """
-    cluster = Window.partitionBy("cluster_id")
     entry = Window.partitionBy("entry_id")
-    raw = F.when(F.col("cluster_id").isNotNull(), F.min("chain").over(cluster))
-    out = chain.withColumn("raw_key", raw)
+    least = chain.where("cluster_id is not null").groupBy("cluster_id").agg(F.min("chain").alias("raw_key"))
+    out = chain.join(least, "cluster_id", "left")
     out = out.withColumn("has_cluster", F.bool_or(F.col("cluster_id").isNotNull()).over(entry)).withColumn("has_known", F.bool_or(F.col("known") > 0).over(entry))
     loose = F.when(F.col("has_cluster"), F.col("known") >= MIN_MERGE_LENGTH).otherwise((F.col("known") > 0) | ~F.col("has_known"))
     return out.withColumn("bridge", F.when(F.col("raw_key").isNotNull(), F.col("raw_key")).when(loose, F.col("content")))

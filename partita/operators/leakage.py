@@ -66,18 +66,21 @@ def leak_rate(entries: DataFrame, group: Column, leaky: str = "leaky") -> DataFr
 def pool_sizes(labels: DataFrame, entry_split: DataFrame) -> DataFrame:
     """``(entry_id, pool)``: train entries that share a family with each held-out entry that has families.
 
-    A family is joined with its number of train entries first; only entries of
-    several families need their train entries told apart, through distinct pairs.
+    Entries with the very same families are one *set* of families with a count,
+    on either side, so pairs are pairs of distinct sets, never of entries; a
+    held-out set of one family needs that family's count only.
     """
-    split = labels.join(entry_split.select("entry_id", "split"), "entry_id")
-    train = split.where("split = 'train'").select("family", F.col("entry_id").alias("train_entry")).distinct()
-    held = split.where("split <> 'train'").select("entry_id", "family").distinct()
-    n_families = held.groupBy("entry_id").agg(F.count("*").alias("k"))
-    held = held.join(n_families, "entry_id")
-    sizes = train.groupBy("family").agg(F.count("*").alias("n"))
-    single = held.where("k = 1").join(sizes, "family", "left").select("entry_id", F.coalesce("n", F.lit(0)).alias("pool"))
-    several = held.where("k > 1").join(train, "family", "left").groupBy("entry_id").agg(F.countDistinct("train_entry").alias("pool"))
-    return single.unionByName(several)
+    split = labels.join(entry_split.select("entry_id", "split"), "entry_id").groupBy("entry_id").agg(F.array_sort(F.collect_set("family")).alias("families"), F.first("split").alias("split"))
+    split = split.withColumn("set", F.md5(F.array_join(F.transform("families", lambda f: f.cast("string")), "\x1f")))
+    sets = lambda rows: rows.groupBy("set").agg(F.first("families").alias("families"), F.count("*").alias("n"))
+    held = split.where("split <> 'train'")
+    train = sets(split.where("split = 'train'")).select(F.col("set").alias("other"), "n", F.explode("families").alias("family"))
+    asked = sets(held).select("set", F.size("families").alias("k"), F.explode("families").alias("family"))
+    counts = train.groupBy("family").agg(F.sum("n").alias("pool"))
+    single = asked.where("k = 1").join(counts, "family", "left").select("set", "pool")
+    several = asked.where("k > 1").join(train, "family").select("set", "other", "n").distinct().groupBy("set").agg(F.sum("n").alias("pool"))
+    pools = single.unionByName(several)
+    return held.select("entry_id", "set").join(pools, "set", "left").select("entry_id", F.coalesce("pool", F.lit(0)).alias("pool"))
 
 
 def pool_statistics(pools: DataFrame) -> DataFrame:

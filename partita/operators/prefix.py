@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_before(df: DataFrame, value: str, unit: str, ties: list[str], out: str, ranges: int = 256) -> DataFrame:
+def running_before(df: DataFrame, value: str, unit: str, ties: list[str], out: str, ranges: int = 4096) -> DataFrame:
     """``out``: the sum of ``value`` over the rows that precede in the order of ``unit``, then ``ties``.
 
     ``unit`` lies in [0, 1), so equal intervals of it are ranges in order; the

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.functions.hashing import rank
+from partita.session import shuffle_partitions, stage_table
 
 
 def sample_one_per_group(rows: DataFrame, group: str, seed: int, entry: str = "entry_id", hash_name: str = "md5") -> DataFrame:
@@ -26,14 +27,23 @@ def redundancy_weights(rows: DataFrame, group: str, entry: str = "entry_id") ->
 
 
 def stride_sample(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """``n`` rows at equal steps of the order: those at ``int(i * step)``."""
+    """``n`` rows at equal steps of the order: those at ``int(i * step)``.
+
+    Rows are sorted by ranges over the cluster; a row's place is its place in
+    its range and the rows of the ranges before, one number for each range.
+    """
     total = rows.count()
     if n >= total:
         return rows
     step = total / n
-    numbered = rows.withColumn("__at", F.row_number().over(Window.orderBy(order)) - 1)
-    wanted = rows.sparkSession.range(n).select(F.floor(F.col("id") * step).cast("int").alias("__at"))
-    return numbered.join(wanted, "__at", "left_semi").drop("__at")
+    ranged = stage_table(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), order).withColumn("__part", F.spark_partition_id()), "ranges")
+    across = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("__first"))
+    at = F.col("__first") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    # A place is taken if the step next to it lands on it; two are tried, since floats round.
+    near = F.floor(F.col("__at") / step)
+    taken = (F.floor(near * step) == F.col("__at")) | (F.floor((near + 1) * step) == F.col("__at")) & (near + 1 < n)
+    return ranged.join(F.broadcast(first), "__part").withColumn("__at", at).where(taken).select(*rows.columns)
 
 
 def seeded_sample(rows: DataFrame, entry: str, n: int, seed: int, hash_name: str = "md5") -> DataFrame:

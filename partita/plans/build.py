@@ -67,7 +67,7 @@ def run_build(entries: DataFrame, cfg: Config, registry: DataFrame | None = None
     if registry is not None:
         row = assign.overridden_pins(assigned, clusters.keys, components, registry).first()
         outcome |= {"pinned_reassignments": row["pins"], "pinned_entries_reassigned": row["entries"]}
-    outcome["growth_stable"] = cfg.split_strategy == "hash" and registry is None or registry is not None and outcome["pinned_entries_reassigned"] == 0
+    outcome["growth_stable"] = cfg.split_strategy == "hash" or registry is not None and outcome["pinned_entries_reassigned"] == 0
     splits = stage_table(assign.entry_splits(components, assigned), "splits")
     leakage.assert_no_leakage(clusters.keys, splits, clusters.families)
     targets = conditioning_targets(tiers, splits, components)
@@ -119,9 +119,20 @@ def build_manifest(build: Build) -> dict[str, Any]:
     return out
 
 
+def migration(out: str | Path, splits: DataFrame) -> dict[str, int]:
+    """Entries that moved since the build that ``out`` holds, by direction, and how many both have; empty without one."""
+    before = Path(out) / "entries.splits"
+    if not before.exists():
+        return {}
+    was = splits.sparkSession.read.parquet(str(before))
+    told = leakage.moved_entries(was, splits).first().asDict()
+    return told | {"common": was.join(splits, "entry_id", "left_semi").count()}
+
+
 def write_build(entries: DataFrame, build: Build, out: str | Path, registry: DataFrame | None = None, source: str = "build") -> dict[str, Any]:
     """Lists, tables and documents of a build; tables are Parquet, what people read is JSON. Returns the lock."""
     out = Path(out)
+    moved = migration(out, build.splits)
     for split in SPLITS:
         files.write_id_list(out / f"{split}.json", build.splits.where(F.col("split") == split))
     test = build.classes.select("entry_id", F.explode("classes").alias("class")).join(build.splits.where("split = 'test'").select("entry_id"), "entry_id")
@@ -136,7 +147,7 @@ def write_build(entries: DataFrame, build: Build, out: str | Path, registry: Dat
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(str(out / name))
     build.targets.orderBy("entry_id", "class", F.coalesce("comp_id", F.lit("")), "tier").coalesce(1).write.mode("overwrite").json(str(out / "targets.jsonl"))
-    files.write_json(out / MANIFEST, build_manifest(build))
+    files.write_json(out / MANIFEST, build_manifest(build) | ({"migration": moved} if moved else {}))
     lock = build_lock(entries, build, registry, source=source)
     files.write_json(out / LOCK, lock)
     return lock
@@ -178,4 +189,11 @@ def summary(manifest: dict[str, Any], cfg: Config) -> str:
         share = 100 * c["entries"] / total
         lines.append(f"{s:5} {c['entries']} entries ({share:.2f} %, {share - target:+.2f} points), {c['components']} components, {c['sequence_groups']} sequence sets")
     lines += [f"dropped {k}: {v}" for k, v in sorted(manifest["dropped"].items())]
+    for kind in ("classes", "ambiguous_classes"):
+        lines += [f"{kind} {s}: " + ", ".join(f"{c} {n}" for c, n in sorted(by.items())) for s, by in manifest[kind].items() if by]
+    lines += [f"targets {k}: {v}" for k, v in sorted(manifest["targets"].items())]
+    if manifest.get("migration"):
+        lines.append("since the last build: " + ", ".join(f"{k} {v}" for k, v in sorted(manifest["migration"].items())))
+    drifts = [abs(100 * manifest["counts"][s]["entries"] / total - 100 * getattr(cfg.split_fractions, s)) for s in SPLITS]
+    lines.append(f"largest drift {max(drifts):.2f} points")
     return "\n".join(lines)

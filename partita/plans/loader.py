@@ -18,7 +18,7 @@ class View:
     entries: DataFrame
     classes: DataFrame
     targets: DataFrame
-    groups: DataFrame
+    groups: DataFrame | None
     folds: DataFrame | None
     hash_name: str = "blake2b"
 
@@ -43,13 +43,27 @@ class View:
             raise ValueError("the partition was built without a benchmark authority")
         return self.folds.where("novel")
 
+    def is_novel_fold(self, entry_id: str) -> bool:
+        return not self.novel_entries().where(F.col("entry_id") == entry_id).isEmpty()
+
+    def folds_of(self, entry_id: str) -> list[str]:
+        """The families of an entry by the benchmark authority; none if it has none."""
+        row = None if self.folds is None else self.folds.where(F.col("entry_id") == entry_id).first()
+        return list(row["families"]) if row else []
+
     def sample_by_cluster(self, seed: int = 0) -> DataFrame:
         return sample_one_per_group(self.entries.withColumn("grp", F.coalesce("component", "entry_id")), "grp", seed, hash_name=self.hash_name)
 
     def sample_by_sequence(self, seed: int = 0) -> DataFrame:
+        """One entry for each sequence group; all entries where the build has no groups."""
+        if self.groups is None:
+            return self.entries.select("entry_id")
         return sample_one_per_group(self._by_sequence(), "sequence_group", seed, hash_name=self.hash_name)
 
     def redundancy_weights(self) -> DataFrame:
+        """One over the size of an entry's sequence group; 1.0 for all where the build has no groups."""
+        if self.groups is None:
+            return self.entries.select("entry_id", F.lit(1.0).alias("weight"))
         return redundancy_weights(self._by_sequence(), "sequence_group")
 
     def _by_sequence(self) -> DataFrame:
@@ -70,7 +84,7 @@ class Partition:
         entries = self._table("entries.splits").where(F.col("split") == name)
         within = lambda df: df.join(entries.select("entry_id"), "entry_id", "left_semi")
         folds = within(self._table("folds")) if (self.path / "folds").exists() else None
-        return View(entries, within(self._table("entries.classes")), within(self._table("targets")), within(self._table("sequence_groups")), folds)
+        return View(entries, within(self._table("entries.classes")), within(self._table("targets")), within(self._table("sequence_groups")) if (self.path / "sequence_groups").exists() else None, folds)
 
     @property
     def train(self) -> View:

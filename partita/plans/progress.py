@@ -21,8 +21,10 @@ def progress_line(done: int, total: int, seconds: float) -> str:
     return f"{done}/{total} ({share:.1f} %) in {duration(seconds)}, {duration(left)} left"
 
 
-def dataset_card(manifest: dict[str, Any]) -> str:
-    """Markdown: what the dataset is and how many entries each split has."""
-    lines = [f"# Dataset {manifest['dataset_version']}", "", "| split | entries | components | sequence sets |", "|---|---|---|---|"]
-    lines += [f"| {s} | {c['entries']} | {c['components']} | {c['sequence_groups']} |" for s, c in manifest["counts"].items()]
-    return "\n".join([*lines, "", f"Settings hash `{manifest['config_hash']}`; no key is shared between splits.", ""])
+def dataset_card(manifest: dict[str, Any], fetched: dict[str, int] | None = None, assembly: bool = True) -> str:
+    """Markdown: what the dataset is, how many entries each split has and how many files are there, and where they are."""
+    lines = [f"# Dataset {manifest['dataset_version']}", "", "| split | entries | components | sequence sets | files |", "|---|---|---|---|---|"]
+    lines += [f"| {s} | {c['entries']} | {c['components']} | {c['sequence_groups']} | {(fetched or {}).get(s, 0)} |" for s, c in manifest["counts"].items()]
+    lines += ["", f"Settings hash `{manifest['config_hash']}`; no key is shared between splits.", ""]
+    lines += [f"Files (`{'biological assembly' if assembly else 'as deposited'}`) lie in `structures/<split>/<shard>/`; `index` (Parquet) and `index.jsonl` have a row for each with path, SHA-256, cluster, classes, tiers and conditioning targets.", ""]
+    return "\n".join(lines)

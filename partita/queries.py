@@ -13,20 +13,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partita.config import DOMINANT_SHARE, Fractions
+from partita.config import DOMINANT_SHARE, SPLITS, Fractions
 from partita.functions import text as tx
 from partita.functions.hashing import md5_bucket
 from partita.operators import assign, audit, leakage, sampling
 from partita.operators.clusters import components_of
 from partita.operators.filters import Rule, drop_histogram, split_by_rules, with_drop_reason
 from partita.operators.radius import radius_join
-from partita.operators.tiers import conditioning_targets, ladder, tier_histogram
+from partita.operators.tiers import conditioning_targets, entry_classes, ladder, tier_histogram
+from partita.plans.build import pair_fingerprint
 from partita.session import stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-SALT, FRACTIONS = "snapsplit-v1", Fractions(0.8, 0.1, 0.1)
+SALT, FRACTIONS = "partita", Fractions(0.8, 0.1, 0.1)
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -58,15 +59,15 @@ def document_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("entry_id", F.when(F.col("line") == "", F.concat(F.lit("doc:"), F.col("entry_id"))).otherwise(F.md5("line")).alias("raw_key")).distinct()
 
 
-_staged: dict[tuple[str, str], DataFrame] = {}
+#: Components of documents by session and tables: most queries start from them. They are made once unless ``STAGED`` is cleared.
+STAGED: dict[tuple[str, str], DataFrame] = {}
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents, computed once for a session and kept as a table: most queries start from it."""
     at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _staged:
-        _staged[at] = stage_table(components_of(document_keys(spark, sf_dir)), "components")
-    return _staged[at]
+    if at not in STAGED:
+        STAGED[at] = stage_table(components_of(document_keys(spark, sf_dir)), "components")
+    return STAGED[at]
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,10 +405,8 @@ def tier_reasons(spark, sf_dir):
   array_to_string(list_sort(list_filter(list_distinct(list(CASE WHEN tier = 'ambiguous' THEN would_be END)), lambda x: x IS NOT NULL AND NOT list_contains(list(CASE WHEN tier = 'functional' THEN class END), x))), ',') AS ambiguous_classes
   FROM t GROUP BY 1""")
 def entry_class_map(spark, sf_dir):
-    rows = _tiers(spark, sf_dir)
-    pick = lambda c, tier: F.array_sort(F.collect_set(F.when(F.col("tier") == tier, F.col(c))))
-    out = rows.groupBy("entry_id").agg(pick("class", "functional").alias("classes"), pick("would_be", "ambiguous").alias("maybe"))
-    return out.select("entry_id", F.array_join("classes", ",").alias("classes"), F.array_join(F.array_except("maybe", "classes"), ",").alias("ambiguous_classes"))
+    out = entry_classes(_tiers(spark, sf_dir).withColumn("purification_artifact", F.lit(False)))
+    return out.select("entry_id", F.array_join("classes", ",").alias("classes"), F.array_join("ambiguous_classes", ",").alias("ambiguous_classes"))
 
 
 _TARGETS = f"""{_ORDERS}, {_TIERS},
@@ -612,9 +611,9 @@ def json_ingest(spark, sf_dir):
 
 @query(f"WITH {_ORDERS} SELECT split, count(*) AS n, sha256(string_agg(entry_id || chr(9) || split || chr(10), '' ORDER BY entry_id::VARCHAR)) AS sha256 FROM os GROUP BY 1")
 def split_fingerprint(spark, sf_dir):
-    line = F.concat(F.col("entry_id").cast("string"), F.lit("\t"), "split", F.lit("\n"))
-    grouped = order_splits(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "").alias("body"))
-    return grouped.select("split", "n", F.sha2("body", 256).alias("sha256"))
+    rows = order_splits(spark, sf_dir).select(F.col("entry_id").cast("string").alias("entry_id"), "split")
+    told = [(s, mine.count(), pair_fingerprint(mine, "entry_id", "split")) for s in SPLITS for mine in [rows.where(F.col("split") == s)]]
+    return spark.createDataFrame(told, "split string, n long, sha256 string")
 
 
 @query("""SELECT s.id AS id, c.id AS r_id FROM (SELECT s_suppkey AS id, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier) s

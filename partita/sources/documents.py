@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
@@ -12,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_text(path: str | Path, text: str) -> Path:
-    """Whole or not at all: a file of the same folder, renamed into place."""
+def write_text(path: str | Path, text: str | Iterator[str]) -> Path:
+    """Whole or not at all: a file of the same folder, renamed into place. Pieces are written as they come."""
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as out:
-            out.write(text)
+            out.writelines([text] if isinstance(text, str) else text)
         os.replace(name, path)
     except BaseException:
         Path(name).unlink(missing_ok=True)
@@ -42,9 +43,15 @@ def read_json(path: str | Path, default: Any = None) -> Any:
 
 def write_id_list(path: str | Path, ids: DataFrame, column: str = "entry_id") -> Path:
     """A JSON array with one id a line, sorted, streamed."""
-    lines = (json.dumps(r[0]) for r in ids.select(column).orderBy(column).toLocalIterator())
-    body = ",\n".join(lines)
-    return write_text(path, f"[\n{body}\n]\n" if body else "[]\n")
+
+    def body() -> Iterator[str]:
+        before = "[\n"
+        for row in ids.select(column).orderBy(column).toLocalIterator():
+            yield before + json.dumps(row[0])
+            before = ",\n"
+        yield "[]\n" if before == "[\n" else "\n]\n"
+
+    return write_text(path, body())
 
 
 def read_id_list(path: str | Path) -> list[str]:

@@ -6,9 +6,10 @@ import os
 import duckdb
 import pytest
 
-from partita.queries import ORACLES, QUERIES
+from partita import entry_queries, queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = queries.QUERIES | entry_queries.QUERIES, queries.ORACLES | entry_queries.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 
 
@@ -36,12 +37,10 @@ def test_query(spark, duck, name):
 
 
 def test_result_does_not_depend_on_partitions(spark):
-    from partita import queries
-
     seen = set()
     for n in (1, 4, 17):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        queries._staged.clear()
+        queries.STAGED.clear()
         seen.add(str(values(QUERIES["split_hash_entries"](spark, SF).toPandas())))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(seen) == 1

@@ -167,14 +167,67 @@ def test_growth_keeps_prior_splits(spark):
 
 def test_fetch_command(spark, tmp_path):
     import gzip
+    import json
 
-    spark.createDataFrame([("1ABC", "k", "test"), ("2XYZ", "m", "train")], "entry_id string, component string, split string").write.parquet(str(tmp_path / "entries.splits"))
-    spark.createDataFrame([], "entry_id string, classes array<string>, tiers map<string,string>").write.parquet(str(tmp_path / "entries.classes"))
-    spark.createDataFrame([], "entry_id string, class string, comp_id string, tier string, reason string").write.parquet(str(tmp_path / "targets"))
-    assert cli.main(["fetch", str(tmp_path)]) == cli.REFUSED
-    assert cli.main(["fetch", str(tmp_path), "--split", "test"], transport=lambda url: gzip.compress(b"x")) == 0
-    assert (tmp_path / "structures/test/ab/1abc.cif.gz").exists() and spark.read.parquet(str(tmp_path / "index")).count() == 1
-    assert cli.main(["fetch", str(tmp_path)], transport=lambda url: b"junk") == cli.FAILURES
+    spark.createDataFrame([("1ABC", "k", "test"), ("2XYZ", "m", "train"), ("9", "n", "val")], "entry_id string, component string, split string").write.parquet(str(tmp_path / "entries.splits"))
+    spark.createDataFrame([("2XYZ", ["metal"], {"ZN": "functional"})], "entry_id string, classes array<string>, tiers map<string,string>").write.parquet(str(tmp_path / "entries.classes"))
+    spark.createDataFrame([("9", "metal", "ZN", "functional", "bound")], "entry_id string, class string, comp_id string, tier string, reason string").write.parquet(str(tmp_path / "targets"))
+    (tmp_path / "manifest.json").write_text(json.dumps({"dataset_version": "v", "config_hash": "h", "counts": {s: {"entries": 1, "components": 1, "sequence_groups": 1} for s in ("train", "val", "test")}}))
+    for name in ("train", "val", "test"):
+        (tmp_path / f"{name}.json").write_text("[]")
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        (tmp_path / "asked").open("a").write(url + "\n")
+        return gzip.compress(b"x")
+
+    urls = lambda: sorted((tmp_path / "asked").read_text().split()) if (tmp_path / "asked").exists() else []
+    assert cli.main(["fetch", str(tmp_path)]) == cli.REFUSED and cli.main(["fetch", str(tmp_path), "--estimate"]) == cli.NOT_IMPLEMENTED
+    assert cli.main(["fetch", str(tmp_path), "--split", "test", "--base-url", "https://x.org"], transport=get) == 0
+    assert (tmp_path / "structures/test/ab/1abc-assembly1.cif.gz").exists() and spark.read.parquet(str(tmp_path / "index")).count() == 1 and urls() == ["https://x.org/1abc-assembly1.cif.gz"]
+    assert cli.main(["fetch", str(tmp_path), "--classes", "metal", "--base-url", "https://x.org"], transport=get) == 0 and urls()[1:] == ["https://x.org/2xyz-assembly1.cif.gz"]
+    assert cli.main(["fetch", str(tmp_path), "--targets", "metal", "--base-url", "https://x.org"], transport=get) == 0 and len(urls()) == 3
+    lines = [json.loads(x) for x in (tmp_path / "index.jsonl").read_text().splitlines()]
+    assert [x["entry_id"] for x in lines] == ["1ABC", "2XYZ", "9"] and lines[1]["classes"] == ["metal"] and lines[2]["conditioning_targets"][0]["comp_id"] == "ZN" and lines[2]["path"].startswith("structures/val/")
+    assert "| train | 1 | 1 | 1 | 1 |" in (tmp_path / "README.md").read_text()
+    # What is there and intact stays; what was changed is fetched again.
+    (tmp_path / "structures/test/ab/1abc-assembly1.cif.gz").write_bytes(b"broken")
+    assert cli.main(["fetch", str(tmp_path), "--base-url", "https://x.org"], transport=get) == 0 and len(urls()) == 4
+    assert cli.main(["fetch", str(tmp_path), "--deposited", "--limit", "1"], transport=lambda url: b"junk") == cli.NETWORK
+
+
+def test_builds_tell_what_moved(spark, tmp_path):
+    from partita.plans import build
+
+    before = spark.createDataFrame([("A", "k", "train"), ("B", "m", "test"), ("C", "n", "val")], "entry_id string, component string, split string")
+    assert build.migration(tmp_path, before) == {}
+    before.write.parquet(str(tmp_path / "entries.splits"))
+    after = spark.createDataFrame([("A", "k", "test"), ("B", "m", "train"), ("D", "n", "val")], "entry_id string, component string, split string")
+    assert build.migration(tmp_path, after) == {"moved": 2, "into_train": 1, "out_of_train": 1, "common": 2}
+
+
+def test_run_spans_and_short_paths(spark):
+    from hashlib import blake2b
+
+    from partita.functions import text
+
+    seqs = ["HHHHAA", "A" * 18 + "HHHH" + "A" * 30, "A" * 17 + "HHHH" + "A" * 30, "A" * 16 + "HHHHH" + "A" * 30, "A" * 40 + "hhhh", "A" * 60, "", "A" * 30 + "HHHHHH" + "A" * 30, "HHHAHHHH"]
+    got = [[tuple(x) for x in r[0]] for r in spark.createDataFrame([(k, s) for k, s in enumerate(seqs)], "k int, s string").orderBy("k").select(text.run_spans(F.col("s"))).collect()]
+    assert got == [[(1, 4)], [], [], [(17, 21)], [(41, 44)], [], [], [], [(5, 8)]]
+    df = spark.createDataFrame([("A_1", "AB", 1, 4), ("A_B_2", "4HHB", 0, 0)], "c string, e string, x int, n int")
+    assert rows(df.select(text.entry_of_chain(F.col("c")), text.relative_path(F.col("e"), F.lit("val"), False), text.percent(F.col("x"), F.col("n")))) == [
+        ("A", f"structures/val/{blake2b(b'ab', digest_size=1).hexdigest()}/ab.cif.gz", 25.0), ("A_B", "structures/val/hh/4hhb.cif.gz", 0.0)]
+
+
+def test_views_without_groups(spark):
+    from partita.plans.loader import View
+
+    entries = spark.createDataFrame([("A", "k"), ("B", "k")], "entry_id string, component string")
+    folds = spark.createDataFrame([("A", ["f"], True), ("B", ["g", "h"], False)], "entry_id string, families array<string>, novel boolean")
+    view = View(entries, entries, entries, None, folds)
+    assert rows(view.sample_by_sequence()) == [("A",), ("B",)] and rows(view.redundancy_weights()) == [("A", 1.0), ("B", 1.0)]
+    assert view.is_novel_fold("A") and not view.is_novel_fold("B") and view.folds_of("B") == ["g", "h"] and view.folds_of("C") == []
 
 
 def test_settings_are_rewritten_in_place(tmp_path):
@@ -188,4 +241,4 @@ def test_settings_are_rewritten_in_place(tmp_path):
     out = wizard.run_init(text, tmp_path / "c.yaml", lambda q: next(said)).read_text()
     assert "resolution_max_A: 2.5  # loosest" in out and 'split_strategy: "balanced"' in out and 'split_salt: "salty"' in out
     assert progress.duration(59) == "59s" and progress.duration(61) == "1m01s" and progress.duration(7260) == "2h01m" and progress.progress_line(1, 2, 10) == "1/2 (50.0 %) in 10s, 10s left"
-    assert "| test | 1 | 1 | 1 |" in progress.dataset_card({"dataset_version": "v", "config_hash": "h", "counts": {"test": {"entries": 1, "components": 1, "sequence_groups": 1}}})
+    assert "| test | 1 | 1 | 1 | 0 |" in progress.dataset_card({"dataset_version": "v", "config_hash": "h", "counts": {"test": {"entries": 1, "components": 1, "sequence_groups": 1}}})
