@@ -610,7 +610,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
 
-    def candidates(pairs: DataFrame) -> DataFrame:
+    def briefs_of(wanted: DataFrame) -> DataFrame:
+        return fetched(wanted, "briefs", _BRIEF, lambda t: brief(t, classes.value, percent))
+
+    def candidates(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
         return checkpointed(_paired(pairs, briefs, _BRIEF, lambda x, n, y, m: is_candidate(x, n, y, m, percent)))
 
     def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -618,9 +621,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return checkpointed(_paired(pairs, held, ["tokens"], same))
 
     # Every member against its list's leaders.
-    briefs = fetched(lists.select("sid").distinct(), "briefs", _BRIEF, lambda t: brief(t, classes.value, percent))
     led = lists.select("sid", F.explode("leads").alias("lead"))
-    near = candidates(led.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct())
+    led = checkpointed(led.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct())
+    near = candidates(led, briefs_of(ends(led)))
     links = verified(near, whole(ends(near)))
     labels = checkpointed(connected_components(links, "a", "b")).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
 
@@ -634,7 +637,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         gathered = checkpointed(_gathered(members.where(F.col("m") > SHORT_LIST)))
         short = members.where(F.col("m") <= SHORT_LIST).join(gathered.select("sid", "gather"), "sid", "left")
         short = short.groupBy("tok").agg(F.collect_list(F.struct("sid", "n", "reach", "comp", "gather")).alias("members")).select("members")
-        near = candidates(short.mapInArrow(lambda batches: _named(batches, percent), "a long, b long").distinct())
+        named = checkpointed(short.mapInArrow(lambda batches: _named(batches, percent), "a long, b long").distinct())
+        briefs = briefs_of(ends(named).unionByName(gathered.select("sid")).distinct())
+        near = candidates(named, briefs)
         held = whole(ends(near).unionByName(gathered.select("sid")).distinct())
         more = verified(near, held).unionByName(checkpointed(_block_merges(gathered, briefs, held, percent)))
         of = lambda end: labels.select(F.col("sid").alias(end), F.col("comp").alias(f"comp_{end}"))
