@@ -70,6 +70,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(f[:, None] - self.thresholds[None, :], -60, 60)))
 
 
+def likelihood(f: np.ndarray, theta: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of grades ``y``, and its derivatives by ``f`` and by the thresholds."""
+    k, edge = np.arange(len(y)), np.zeros((len(y), 1))
+    cum = 1 / (1 + np.exp(-np.clip(f[:, None] - theta[None, :], -60, 60)))
+    # P(y = k) = tail_k - tail_{k+1}, with tail_0 = 1 and tail_K = 0.
+    tail, slope = np.hstack([edge + 1, cum, edge]), np.hstack([edge, cum * (1 - cum), edge])
+    prob = np.maximum(tail[k, y] - tail[k, y + 1], 1e-9)
+    d_f = -(slope[k, y] - slope[k, y + 1]) / prob / len(y)
+    d_theta = np.array([((np.where(y == j + 1, 1.0, 0.0) - np.where(y == j, 1.0, 0.0)) * slope[:, j + 1] / prob).sum() / len(y) for j in range(len(theta))])
+    return float(-np.log(prob).mean()), d_f, d_theta
+
+
 def fit(sample: list[bytes], grade: list[int], grades: int, epochs: int = 60, rate: float = 2.0, decay: float = 1e-6) -> Model:
     """Weights and thresholds by full-batch Adagrad on the negative log-likelihood; deterministic."""
     y = np.array(grade, np.int64)
@@ -85,22 +97,10 @@ def fit(sample: list[bytes], grade: list[int], grades: int, epochs: int = 60, ra
     lengths = np.diff(rows)
     first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-3))
     acc_w, acc_f, acc_g = np.full(BUCKETS, 1e-8), 1e-8, np.full(len(gaps), 1e-8)
-    above = y[:, None] > np.arange(grades - 1)[None, :]
     for epoch in range(epochs):
         step = rate * (1 - 0.9 * epoch / epochs)
         theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        f = np.add.reduceat(weight[at] * value, rows[:-1])
-        cum = 1 / (1 + np.exp(-np.clip(f[:, None] - theta[None, :], -60, 60)))
-        # P(y = k) = tail_k - tail_{k+1}, with tail_0 = 1 and tail_K = 0.
-        tail = np.hstack([np.ones((len(y), 1)), cum, np.zeros((len(y), 1))])
-        k = np.arange(len(y))
-        prob = np.maximum(tail[k, y] - tail[k, y + 1], 1e-9)
-        slope = np.hstack([np.zeros((len(y), 1)), cum * (1 - cum), np.zeros((len(y), 1))])
-        d_f = -(slope[k, y] - slope[k, y + 1]) / prob / len(y)
-        d_theta = np.zeros(grades - 1)
-        for j in range(grades - 1):
-            hit = np.where(y == j + 1, slope[:, j + 1], 0.0) - np.where(y == j, slope[:, j + 1], 0.0)
-            d_theta[j] = (hit / prob).sum() / len(y)
+        _, d_f, d_theta = likelihood(np.add.reduceat(weight[at] * value, rows[:-1]), theta, y)
         grad = np.bincount(at, np.repeat(d_f, lengths) * value, BUCKETS) + decay * weight
         acc_w += grad**2
         weight -= step * grad / np.sqrt(acc_w)

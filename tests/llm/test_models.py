@@ -89,3 +89,70 @@ def test_held_out_rows_and_other_columns_do_not_matter(spark):
     two = spark.createDataFrame([(i, 1 - y if i in held else y) for i, y in labels], "doc_id long, toxic int")
     scores = lambda d, x: sorted((r["doc_id"] or 0, r["score"]) for r in t.toxicity(d, x).collect())
     assert held and scores(base, one) == scores(base, two) == scores(base.withColumn("source", F.lit("z")).withColumn("lang", F.lit(None)), one)
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(4)
+    f, theta, y = rng.normal(0, 2, 40), np.array([-1.0, 0.2, 1.7]), rng.integers(0, 4, 40)
+    _, d_f, d_theta = q.likelihood(f, theta, y)
+    loss = lambda f, theta: -np.mean([np.log(p) for x, g in zip(f, y, strict=True) for tails in [[1, *(1 / (1 + np.exp(t - x)) for t in theta), 0]] for p in [tails[g] - tails[g + 1]]])
+    assert np.isclose(q.likelihood(f, theta, y)[0], loss(f, theta))
+    for analytic, at in ((d_f, f), (d_theta, theta)):
+        for k in range(len(at)):
+            step = np.zeros(len(at))
+            step[k] = 1e-5
+            up, down = (loss(f + s, theta) if at is f else loss(f, theta + s) for s in (step, -step))
+            assert abs(analytic[k] - (up - down) / 2e-5) < 1e-7
+
+
+def mixed(x):
+    """The splitmix64 finaliser on one integer."""
+    m = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def toxic_by_hand(model, text):
+    """The mean logit of the worst window of two words, by loops over words and n-grams."""
+    code = [mixed((7 + b) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for b in range(256)]
+    words = "".join(chr(b) for b in text.translate(t._FOLD)).split(" ")
+    words = [w.encode("latin-1") for w in words if w]
+    grams = []
+    for w in words:
+        marked, mine = b" " + w + b" ", []
+        for n in (3, 4, 5):
+            for i in range(len(marked) - n + 1):
+                h = n
+                for b in marked[i : i + n]:
+                    h = (h * 0x100000001B3 + code[b]) & (1 << 64) - 1
+                mine.append(model.logit[mixed(h) & t.BUCKETS - 1])
+        grams.append(mine)
+    windows = [grams[k] + grams[k + 1] for k in range(len(grams) - 1)] or grams
+    top = max((sum(map(float, x)) / max(1, len(x)) for x in windows), default=0.0)
+    return 1 / (1 + np.exp(-(model.bias + top)))
+
+
+def sampled(spark, column):
+    """Texts and labels of the rows that a model may learn from, in the order of their hash."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("h", F.xxhash64("doc_id")).toPandas()
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    mine = labels[[zlib.crc32(str(i).encode()) % 5 != 0 for i in labels["doc_id"]]].sort_values(["h", "doc_id"])
+    return [(texts[i] or "").encode() for i in mine["doc_id"]], mine, texts
+
+
+def test_scores_equal_brute_force(spark):
+    sample, mine, texts = sampled(spark, "toxic")
+    assert len(sample) < t.SAMPLE_ROWS and sum(map(len, sample)) < t.SAMPLE_BYTES
+    toxic = t.fit(sample, mine["toxic"].tolist())
+    graded = q.fit(sample, [0 if a == 0 else 1 if b == 1 else 2 for a, b in zip(mine["quality"], mine["toxic"], strict=True)], 3)
+    scores = {r["doc_id"]: r["score"] for r in QUERIES["op2_toxicity"](spark, SF).collect()}
+    grades = {r["doc_id"]: (r["expected_grade"], r["tail_prob"]) for r in QUERIES["op4_quality"](spark, SF).collect()}
+    assert scores.keys() == grades.keys() == texts.keys()
+    for i in sorted(texts, key=lambda i: len(texts[i] or ""))[:400]:
+        text = (texts[i] or "").encode()
+        assert abs(scores[i] - toxic_by_hand(toxic, text)) < 1e-4
+        at, value = q.features(text)
+        f = sum(graded.weight[k] * v for k, v in zip(at.tolist(), value.tolist(), strict=True))
+        tails = [1 / (1 + np.exp(x - f)) for x in graded.thresholds]
+        assert np.allclose(grades[i], (sum(tails), tails[0]), atol=1e-9)
