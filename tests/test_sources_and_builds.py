@@ -46,6 +46,33 @@ def test_raw_objects_become_entries(spark, tmp_path):
     assert got["quality"]["clashscore"] == 142.32 and got["quality"]["rfree"] is None
 
 
+def test_enumeration(spark, tmp_path):
+    from partita.sources import enumerate as enum
+
+    every = [f"{k}ABC" for k in range(1, 8)]
+    cfg = config(experimental_methods=("X-ray diffraction", "solution NMR"))
+    failed = []
+
+    def search(_, start, n):
+        if start == 3 and not failed:
+            failed.append(start)
+            raise fetch.TransportError("busy", 503)
+        return every[start : start + n]
+
+    raw = json.dumps(RAW)
+
+    def ask(ids):
+        return json.dumps({"data": {"entries": [None if x == "3ABC" else json.loads(raw) | {"rcsb_id": x} for x in ids]}, "errors": [{"message": "3ABC is gone"}]})
+
+    with pytest.warns(UserWarning, match="SOLUTION NMR"):
+        told = enum.enumerate_entries(spark, cfg, search, ask, str(tmp_path / "e"), page=3, batch=2)
+    assert (told["found"], told["count"]) == (7, 6) and failed == [3]
+    assert [r[0] for r in rows(src.read_entries_jsonl(spark, str(tmp_path / "e")).select("entry_id"))] == [x for x in every if x != "3ABC"]
+    assert list(enum.search_pages(cfg, search, limit=5, page=3)) == [every[:3], every[3:5]] and list(enum.search_pages(cfg, lambda *a: [])) == []
+    with pytest.raises(fetch.TransportError, match="no data"):
+        enum.records_of('{"errors": ["bad query"]}', ["1ABC"])
+
+
 def test_canonical_lines_round_trip(spark, tmp_path):
     entries = table(spark, [entry("B", comps=[comp("É", None)]), entry("A", resolution_A=1e-5)])
     src.write_entries_jsonl(entries, str(tmp_path / "e"))
