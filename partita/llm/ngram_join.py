@@ -21,7 +21,11 @@ Lists of near copies hold the same sets over and over, so pairs are never
 enumerated freely. Lists of a few members pair all of them; in longer ones each
 member is paired with a few leaders, a linear number, and verified links are
 merged to components. After that only lists that still hold several components
-matter, and of those only pairs of different components. Long lists that share
+matter, and of those only pairs of different components. A sketch of fixed size
+can't tell rare tokens from common ones once the corpus outgrows it, so where
+long lists hold more sets than a block, these are posted again, among
+themselves, under an order that puts the tokens of the lists found open last,
+as long as that halves their number. Lists that are long even then and share
 members are gathered, so that each set is looked at once however many lists it
 is in, and what is left of a gathering beside its largest component is compared
 block by block: each task bounds, filters and verifies the pairs of two blocks
@@ -142,10 +146,16 @@ def overlap(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens under one global order, of which a linked set must hold at least one; in that order."""
+def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int, late: np.ndarray | None = None) -> np.ndarray:
+    """The first tokens under one global order, of which a linked set must hold at least one; in that order.
+
+    Tokens that the bitmap ``late`` names stand behind all others.
+    """
     size = len(tokens) - need(len(tokens), percent) + 1
-    rank = (classes[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix64(tokens ^ _ORDERS[order]) >> np.uint64(6))
+    kind = np.minimum(classes[(tokens & np.uint64(len(classes) - 1)).astype(np.int64)], 31).astype(np.uint64)
+    if late is not None:
+        kind |= in_bitmap(late, tokens.view(np.int64)).astype(np.uint64) << np.uint64(5)
+    rank = (kind << np.uint64(58)) | (mix64(tokens ^ _ORDERS[order]) >> np.uint64(6))
     some = np.argpartition(rank, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
     return tokens[some[np.argsort(rank[some], kind="stable")]]
 
@@ -217,7 +227,7 @@ class _Seen:
         return True
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _first_pass(batches: Iterator[pa.RecordBatch], width: int, sketch: int) -> Iterator[pa.RecordBatch]:
     """Each document's set identifier and size, then this task's share of the sketch."""
     names = ["kind", "doc_id", "n", "sid", "digest", "block", "packed"]
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary())
@@ -225,7 +235,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
     def rows(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    counts = np.zeros(SKETCH, np.uint32)
+    counts = np.zeros(sketch, np.uint32)
     seen = _Seen()
     for batch in batches:
         sizes, ids, pending, held = [], [], [], 0
@@ -237,7 +247,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
                 continue
             pending.append(tokens)
             held += len(tokens)
-            if held > SKETCH // 4:
+            if held > 1_000_000:
                 _count(counts, pending)
                 pending, held = [], 0
         _count(counts, pending)
@@ -252,22 +262,22 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
 
 def _count(counts: np.ndarray, sets: list[np.ndarray]) -> None:
     if sets:
-        at, n = np.unique((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.uint32), return_counts=True)
+        at, n = np.unique((np.concatenate(sets) & np.uint64(len(counts) - 1)).astype(np.uint32), return_counts=True)
         counts[at] += n.astype(np.uint32)
 
 
-def _classes(sketches: DataFrame) -> np.ndarray:
-    """The logarithmic class of every counter, summed over all documents: SKETCH bytes on the driver."""
+def _classes(sketches: DataFrame, sketch: int) -> np.ndarray:
+    """The logarithmic class of every counter, summed over all documents: ``sketch`` bytes on the driver."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH // _BLOCKS, np.int64)
+        total = np.zeros(sketch // _BLOCKS, np.int64)
         for batch in batches:
             for piece in batch.column("packed").to_pylist():
                 total += np.frombuffer(zlib.decompress(piece), np.uint8)
         classes = np.floor(np.log2(total + 1)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["block", "packed"])
 
-    out = np.zeros((_BLOCKS, SKETCH // _BLOCKS), np.uint8)
+    out = np.zeros((_BLOCKS, sketch // _BLOCKS), np.uint8)
     for row in sketches.select("block", "packed").groupBy("block").applyInArrow(add, "block int, packed binary").collect():
         out[row["block"]] = np.frombuffer(row["packed"], np.uint8)
     return out.reshape(-1)
@@ -331,8 +341,8 @@ def _dealt(some: Postings, bucket: np.ndarray, base: int, buckets: int) -> Itera
             yield base + k, some.at(order[cuts[k] : cuts[k + 1]]).packed()
 
 
-def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, classes: np.ndarray, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Prefix tokens under the first order, packed by bucket of the token.
+def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, classes: np.ndarray, buckets: int, most: int, wanted: np.ndarray | None = None, late: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Prefix tokens under the first order, packed by bucket of the token, of all documents or of those that ``wanted`` names or that have no identifier.
 
     A token that more than ``most`` sets of this task post is a list already: its postings go
     to other buckets by the piece, and its own bucket gets the piece's leaders
@@ -368,13 +378,13 @@ def _postings(batches: Iterator[pa.RecordBatch], width: int, percent: int, class
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packed"])
 
     for batch in batches:
-        for whole in shingle_sets(texts(batch.column(0)), width):
+        for whole in shingle_sets(texts((batch if wanted is None else _named_by(batch, wanted)).column(1)), width):
             if not len(whole):
                 continue
             sid = set_id(whole)
             if not seen.add(sid):
                 continue
-            tokens.append(prefix(whole, classes, 0, percent))
+            tokens.append(prefix(whole, classes, 0, percent, late))
             owners.append((sid, len(whole)))
             held += len(tokens[-1])
             if held > 2_000_000:
@@ -429,12 +439,16 @@ def fits(n, r, m, s, percent: int):
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(r, s) >= overlap(n, m, percent))
 
 
+def _named_by(batch: pa.RecordBatch, bitmap: np.ndarray) -> pa.RecordBatch:
+    """The documents that the bitmap names or that have no identifier."""
+    ids = batch.column(0)
+    return batch.filter(pa.array(in_bitmap(bitmap, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)))
+
+
 def _held(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray, say: Callable[[np.ndarray], dict], names: list[str]) -> Iterator[pa.RecordBatch]:
     """What ``say`` tells of the sets of documents that the bitmap names or that have no identifier, each set once a batch."""
     for batch in batches:
-        ids = batch.column(0)
-        wanted = in_bitmap(bitmap, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
-        some = batch.filter(pa.array(wanted))
+        some = _named_by(batch, bitmap)
         if not some.num_rows:
             continue
         sets = {set_id(t): t for t in shingle_sets(texts(some.column(1)), width) if len(t)}
@@ -563,7 +577,7 @@ def _block_merges(gathered: DataFrame, briefs: DataFrame, held: DataFrame, perce
 _BRIEF = ["second", "third", "bits"]
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, digest: Column | None = None) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, digest: Column | None = None, sketch: int = SKETCH) -> DataFrame:
     """``doc_id, n_shingles, component_id, group`` for every row of ``docs``, and ``digest`` if a column is given for it.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|`` over their
@@ -573,7 +587,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     as any other, but names no component; a component of such rows alone has a
     null name. ``group`` numbers the components, null for empty sets. Repeated rows are equal sets, hence one component. Other columns
     are ignored; an empty table gives no rows. Sets are compared by 64-bit
-    hashes of their shingles.
+    hashes of their shingles. ``sketch`` counters (a power of two) order tokens
+    by frequency; their number changes costs, never results.
     """
     spark = docs.sparkSession
     shared: list[Broadcast] = []
@@ -583,24 +598,31 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return shared[-1]
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None) if digest is None else digest).cast("string").alias("digest"))
-    first = stage_table(narrow.mapInArrow(lambda batches: _first_pass(batches, width), _SETS), "sets", "kind")
+    first = stage_table(narrow.mapInArrow(lambda batches: _first_pass(batches, width, sketch), _SETS), "sets", "kind")
     sets = first.where("kind = 0").select("doc_id", "n", "sid", "digest")
-    classes = share(_classes(first.where("kind = 1")))
+    classes = share(_classes(first.where("kind = 1"), sketch))
 
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     buckets = int(max(shuffle_partitions(spark), tokens * (101 - percent) // 100 // 1_000_000))
-    posted = narrow.select("text").mapInArrow(lambda batches: _postings(batches, width, percent, classes.value, buckets, PIECE), "bucket int, packed binary")
 
     def bucket_lists(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, m, leads = lists_of(Postings.unpacked([x for b in batches for x in b.column("packed").to_pylist()]), percent, key[0].as_py() >= buckets)
         yield pa.RecordBatch.from_arrays([pa.array(some.token.view(np.int64)), pa.array(some.owner), pa.array(some.size), pa.array(some.reach), pa.array(m), leads], ["tok", "sid", "n", "reach", "m", "leads"])
 
-    lists = stage_table(posted.groupBy("bucket").applyInArrow(bucket_lists, _LISTS), "lists")
+    def listed(name: str, wanted: Broadcast | None = None, late: Broadcast | None = None) -> DataFrame:
+        value = lambda x: None if x is None else x.value
+        posted = narrow.select("doc_id", "text").mapInArrow(lambda batches: _postings(batches, width, percent, classes.value, buckets, PIECE, value(wanted), value(late)), "bucket int, packed binary")
+        return stage_table(posted.groupBy("bucket").applyInArrow(bucket_lists, _LISTS), name)
+
+    lists = listed("lists")
     by_set = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
 
+    def documents_of(wanted: DataFrame) -> Broadcast:
+        return share(membership_bitmap(wanted.join(by_set, "sid").select("least"), "least"))
+
     def fetched(wanted: DataFrame, name: str, columns: list[str], say: Callable[[np.ndarray], dict]) -> DataFrame:
         """What ``say`` tells of the sets of ``wanted(sid)``, made again from their documents."""
-        named = share(membership_bitmap(wanted.join(by_set, "sid").select("least"), "least"))
+        named = documents_of(wanted)
         found = narrow.select("doc_id", "text").mapInArrow(lambda batches: _held(batches, width, named.value, say, columns), f"sid long, n long, {', '.join(f'{c} binary' for c in columns)}")
         return stage_table(found.join(wanted, "sid").dropDuplicates(["sid"]), name)
 
@@ -620,33 +642,62 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         same = lambda x, n, y, m: linked(np.frombuffer(x["tokens"], np.uint64), np.frombuffer(y["tokens"], np.uint64), percent)
         return checkpointed(_paired(pairs, held, ["tokens"], same))
 
-    # Every member against its list's leaders.
-    led = lists.select("sid", F.explode("leads").alias("lead"))
-    led = checkpointed(led.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct())
-    near = candidates(led, briefs_of(ends(led)))
-    links = verified(near, whole(ends(near)))
-    labels = checkpointed(connected_components(links, "a", "b")).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    def led(lists: DataFrame) -> DataFrame:
+        """Every member and its list's leaders."""
+        pairs = lists.select("sid", F.explode("leads").alias("lead"))
+        return pairs.select(F.least("sid", "lead").alias("a"), F.greatest("sid", "lead").alias("b")).distinct()
 
-    # Lists that still hold several components.
-    members = lists.where(F.col("m") > ALL_PAIRS).select("tok", "sid", "n", "reach").distinct().join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    open_ = members.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.count("*").alias("m")).where("low <> high")
-    smallest = F.greatest(F.col("least"), -F.floor(-percent * F.col("n") / 100))
-    members = members.join(open_.select("tok", "least", "m"), "tok").where((100 + percent) * F.col("reach") >= percent * (F.col("n") + smallest))
-    members = stage_table(members.select("tok", "sid", "n", "reach", "comp", "m"), "open")
-    if not members.isEmpty():
-        gathered = checkpointed(_gathered(members.where(F.col("m") > SHORT_LIST)))
-        short = members.where(F.col("m") <= SHORT_LIST).join(gathered.select("sid", "gather"), "sid", "left")
-        short = short.groupBy("tok").agg(F.collect_list(F.struct("sid", "n", "reach", "comp", "gather")).alias("members")).select("members")
-        named = checkpointed(short.mapInArrow(lambda batches: _named(batches, percent), "a long, b long").distinct())
-        briefs = briefs_of(ends(named).unionByName(gathered.select("sid")).distinct())
-        near = candidates(named, briefs)
-        held = whole(ends(near).unionByName(gathered.select("sid")).distinct())
-        more = verified(near, held).unionByName(checkpointed(_block_merges(gathered, briefs, held, percent)))
-        of = lambda end: labels.select(F.col("sid").alias(end), F.col("comp").alias(f"comp_{end}"))
-        more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
-        joined = checkpointed(connected_components(more, "a", "b")).select(F.col("node").alias("comp"), "component")
+    def of_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs with the components ``p`` and ``q`` of their ends."""
+        of = lambda end, comp: labels.select(F.col("sid").alias(end), F.col("comp").alias(comp))
+        pairs = pairs.join(of("a", "p"), "a", "left").join(of("b", "q"), "b", "left")
+        return pairs.select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q"))
+
+    def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+        joined = checkpointed(connected_components(of_components(links, labels), "p", "q")).select(F.col("node").alias("comp"), "component")
         every = by_set.select("sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        labels = every.join(joined, "comp", "left").select("sid", F.coalesce("component", "comp").alias("comp"))
+        return checkpointed(every.join(joined, "comp", "left").select("sid", F.coalesce("component", "comp").alias("comp")))
+
+    def still_open(lists: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+        """Members of the lists that still hold several components."""
+        members = lists.where(F.col("m") > ALL_PAIRS).select("tok", "sid", "n", "reach").distinct().join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        open_ = members.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.count("*").alias("m")).where("low <> high")
+        smallest = F.greatest(F.col("least"), -F.floor(-percent * F.col("n") / 100))
+        members = members.join(open_.select("tok", "least", "m"), "tok").where((100 + percent) * F.col("reach") >= percent * (F.col("n") + smallest))
+        return stage_table(members.select("tok", "sid", "n", "reach", "comp", "m"), name)
+
+    def named_pairs(members: DataFrame, gathered: DataFrame) -> DataFrame:
+        """The pairs of short lists that no gathering ``(sid, gather)`` holds."""
+        short = members.where(F.col("m") <= SHORT_LIST).join(gathered, "sid", "left")
+        short = short.groupBy("tok").agg(F.collect_list(F.struct("sid", "n", "reach", "comp", "gather")).alias("members")).select("members")
+        return short.mapInArrow(lambda batches: _named(batches, percent), "a long, b long").distinct()
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        near = candidates(pairs, briefs_of(ends(pairs)))
+        return verified(near, whole(ends(near)))
+
+    links = links_of(checkpointed(led(lists)))
+    labels = checkpointed(connected_components(links, "a", "b")).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    members, late, before = still_open(lists, labels, "open"), None, None
+    while not members.isEmpty():
+        again = checkpointed(members.where(F.col("m") > SHORT_LIST).select("sid").distinct())
+        count = again.count()
+        if count <= BLOCK or before is not None and 2 * count > before:
+            gathered = checkpointed(_gathered(members.where(F.col("m") > SHORT_LIST)))
+            named = checkpointed(named_pairs(members, gathered.select("sid", "gather")))
+            briefs = briefs_of(ends(named).unionByName(gathered.select("sid")).distinct())
+            near = candidates(named, briefs)
+            held = whole(ends(near).unionByName(gathered.select("sid")).distinct())
+            labels = merged(labels, verified(near, held).unionByName(checkpointed(_block_merges(gathered, briefs, held, percent))))
+            break
+        # Sets in long lists once more, among themselves, with the tokens of open lists behind all others.
+        found = membership_bitmap(members.select("tok").distinct(), "tok")
+        late, before = found if late is None else late | found, count
+        named = named_pairs(members, again.withColumn("gather", F.lit(0).cast("long")))
+        lists = listed("lists", documents_of(again), share(late))
+        apart = of_components(led(lists), labels).where("p <> q").select("a", "b")
+        labels = merged(labels, links_of(checkpointed(named.unionByName(apart).distinct())))
+        members = still_open(lists, labels, "open")
 
     named_by = by_set.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     smallest = named_by.groupBy("comp").agg(F.min("least").alias("component_id"))

@@ -125,6 +125,23 @@ def test_ngram_components_equal_brute_force(spark, monkeypatch, short, block, pi
     assert collected(ngram_components(docs(spark, rows).repartition(3)).drop("group")) == components_by_hand(rows)
 
 
+def test_long_lists_of_a_full_sketch_are_posted_again(spark, monkeypatch):
+    # With 64 counters all tokens look equally rare, so shared passages stand in prefixes and their lists hold nearly all sets.
+    pick = random.Random(5)
+    passages = [" ".join(f"p{k}.{j}" for j in range(12)) for k in range(20)]
+    rows = []
+    for doc in range(120):
+        words = [f"w{pick.randrange(10**9)}" for _ in range(150)] + pick.sample(passages, 8)
+        rows.append((doc, " ".join(words), None, None))
+    rows += [(1000 + doc, f"{rows[doc][1]} some more words at the end", None, None) for doc in range(0, 120, 10)]
+    compared = []
+    merges = ngram_join._block_merges
+    monkeypatch.setattr(ngram_join, "_block_merges", lambda gathered, *rest: compared.append(gathered.count()) or merges(gathered, *rest))
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    assert collected(ngram_components(docs(spark, rows).repartition(3), sketch=64).drop("group")) == components_by_hand(rows)
+    assert sum(compared) < 30
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(3)
     classes = np.zeros(ngram_join.SKETCH, np.uint8)
