@@ -73,10 +73,9 @@ def _family(kind: Column, pairs: list[tuple[int, str, Column]]) -> Column:
     return out
 
 
-def entry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ENTRY_SCHEMA`` rows of all orders."""
+def polymer_table(chains: DataFrame, key: str = "o") -> DataFrame:
+    """``polymer_entities`` of each order, from its chains."""
     pk, d = F.col("pk"), F.col("d").cast("string")
-    chains = chain_lines(spark, sf_dir)
     kind = F.when(pk % 9 == 0, "DNA").when(pk % 9 == 1, "RNA").when(pk % 9 == 2, "NA-hybrid").when(pk % 9 == 3, "Other").otherwise("Protein (L)")
     levels = F.create_map(F.lit("90"), (pk % 1000).cast("int"), F.lit("30"), (F.col("d") * 10 + pk % 4).cast("int"))
     polymer = F.struct(
@@ -86,7 +85,21 @@ def entry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         _family(pk % 4, [(0, "cath", F.concat_ws(".", d, pk % 3)), (1, "ecod", F.concat_ws(".", (F.col("d") % 40).cast("string"), pk % 2))]).alias("structural_families"),
         _family(pk % 6, [(0, "pfam", F.concat(F.lit("PF"), d, (pk % 2).cast("string")))]).alias("domain_families"),
     )
-    polymers = chains.groupBy("o").agg(F.array_sort(F.collect_list(polymer.alias("p")), lambda a, b: F.when(a["entity_id"] < b["entity_id"], -1).when(a["entity_id"] > b["entity_id"], 1).otherwise(0)).alias("polymer_entities"))
+    return chains.groupBy(key).agg(F.array_sort(F.collect_list(polymer.alias("p")), lambda a, b: F.when(a["entity_id"] < b["entity_id"], -1).when(a["entity_id"] > b["entity_id"], 1).otherwise(0)).alias("polymer_entities"))
+
+
+def chain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entry_id`` and ``polymer_entities`` of all orders: what clustering reads of an entry. Lines are dealt by the order's identifier, once."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("string").alias("entry_id"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"))
+    lines = lines.repartition("entry_id").groupBy("entry_id", "o", "ln").agg(F.min("pk").alias("pk")).withColumn("d", F.floor(F.col("o") / 10))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("entry_id"))
+    joined = orders.join(polymer_table(lines, "entry_id"), "entry_id", "left")
+    return joined.select("entry_id", F.coalesce("polymer_entities", F.array().cast(joined.schema["polymer_entities"].dataType)).alias("polymer_entities"))
+
+
+def entry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ENTRY_SCHEMA`` rows of all orders."""
+    polymers = polymer_table(chain_lines(spark, sf_dir))
     known = F.broadcast(spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(COMPONENTS)], "k long, comp_id string, formula string, comp_type string"))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("k", F.col("l_partkey") % 20).join(known, "k")
     comps = lines.groupBy(F.col("l_orderkey").alias("o"), "comp_id", "formula", "comp_type").agg(F.bool_or(F.col("l_returnflag") == "R").alias("bound"), F.bool_or(F.col("l_quantity") >= 45).alias("affinity"), F.bool_or(F.col("l_tax") >= 0.08).alias("investigated"))
@@ -245,7 +258,7 @@ _ALL = f"{_FLAT}, {_clustering_sql('en')}"
 
 
 def _keyed(spark, sf_dir):
-    return clusters.chain_keys(clusters.chains(entry_table(spark, sf_dir), CFG))
+    return clusters.chain_keys(clusters.chains(chain_table(spark, sf_dir), CFG))
 
 
 @query(f"{_ALL} SELECT entity_id AS chain, raw AS raw_key, bridge, known FROM c3")
@@ -276,18 +289,18 @@ def entry_sequence_groups(spark, sf_dir):
 
 @query(f"{_ALL}, {_MERGED} SELECT entry_id, co.component, sc.component AS sequence_component FROM co JOIN sc USING (entry_id)")
 def entry_clusters(spark, sf_dir):
-    found = clusters.cluster_entries(entry_table(spark, sf_dir), CFG)
+    found = clusters.cluster_entries(chain_table(spark, sf_dir), CFG)
     return found.components.join(found.sequence_components.withColumnRenamed("component", "sequence_component"), "entry_id")
 
 
 @query(f"{_ALL} SELECT entry_id, family FROM fb")
 def entry_fold_labels(spark, sf_dir):
-    return clusters.cluster_entries(entry_table(spark, sf_dir), CFG).labels
+    return clusters.cluster_entries(chain_table(spark, sf_dir), CFG).labels
 
 
 @query(f"{_ALL} SELECT family, count(DISTINCT component) AS n_components FROM fk JOIN sc USING (entry_id) GROUP BY 1 HAVING count(DISTINCT component) > 1")
 def entry_bridging_families(spark, sf_dir):
-    found = clusters.cluster_entries(entry_table(spark, sf_dir), CFG)
+    found = clusters.cluster_entries(chain_table(spark, sf_dir), CFG)
     return clusters.bridging_families(found.families, found.sequence_components)
 
 

@@ -10,6 +10,7 @@ between pairs of entries.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,24 +143,46 @@ def merging_families(family_rows: DataFrame, sequence_components: DataFrame) ->
 
 @dataclass(frozen=True)
 class Clustering:
-    """Narrow tables of one clustering."""
+    """Narrow tables of one clustering; each is planned, and its components are computed, when it is first asked for."""
 
-    keys: DataFrame
-    components: DataFrame
-    flags: DataFrame
-    sequence_groups: DataFrame
-    families: DataFrame | None
-    labels: DataFrame | None
-    sequence_components: DataFrame
+    entries: DataFrame
+    cfg: Config
+
+    @cached_property
+    def keyed(self) -> DataFrame:
+        return chain_keys(chains(self.entries, self.cfg))
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        return entry_keys(self.keyed)
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return components_of(self.keys, self.families) if self.families is not None else self.sequence_components
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        return entry_flags(self.keyed)
+
+    @cached_property
+    def sequence_groups(self) -> DataFrame:
+        return sequence_groups(self.entries, self.cfg)
+
+    @cached_property
+    def families(self) -> DataFrame | None:
+        return family_keys(self.keyed, self.keys, self.cfg.merge_authorities) if self.cfg.merge_authorities else None
+
+    @cached_property
+    def labels(self) -> DataFrame | None:
+        if self.cfg.fold_benchmark_method == "off":
+            return None
+        named = families(F.col("structural"), F.col("domains"), (self.cfg.fold_benchmark_method,))
+        return chains(self.entries, self.cfg).select("entry_id", F.explode(named).alias("family")).distinct()
+
+    @cached_property
+    def sequence_components(self) -> DataFrame:
+        return components_of(self.keys)
 
 
 def cluster_entries(entries: DataFrame, cfg: Config) -> Clustering:
-    keyed = chain_keys(chains(entries, cfg))
-    keys = entry_keys(keyed)
-    alone = components_of(keys)
-    merged = family_keys(keyed, keys, cfg.merge_authorities) if cfg.merge_authorities else None
-    labels = None
-    if cfg.fold_benchmark_method != "off":
-        named = families(F.col("structural"), F.col("domains"), (cfg.fold_benchmark_method,))
-        labels = keyed.select("entry_id", F.explode(named).alias("family")).distinct()
-    return Clustering(keys, components_of(keys, merged) if merged is not None else alone, entry_flags(keyed), sequence_groups(entries, cfg), merged, labels, alone)
+    return Clustering(entries, cfg)

@@ -205,3 +205,11 @@ def test_novelty(spark):
     splits = spark.createDataFrame([("T1", "test"), ("T2", "test"), ("TR1", "train"), ("V1", "val"), ("T3", "test")], "entry_id string, split string")
     assert rows(leakage.novelty(labels, splits).select("entry_id", "novel")) == [("T1", False), ("T2", True), ("TR1", False), ("V1", True)]
     assert leakage.benchmark_summary(labels, splits).first().asDict() == {"n_test": 3, "n_test_classified": 2, "n_test_novel_fold": 1, "n_test_distinct_folds": 2, "n_test_novel_folds": 1}
+
+
+def test_labels_need_no_components(spark, monkeypatch):
+    from partita.operators import clusters
+
+    monkeypatch.setattr(clusters, "components_of", lambda *_: pytest.fail("components for labels"))
+    entries = [entry("1ABC", [chain("1ABC_1", structural={"ecod": ["7.1"]})])]
+    assert {tuple(r) for r in cluster_entries(table(spark, entries), config(fold_benchmark_method="ecod")).labels.collect()} == {("1ABC", "7.1")}
