@@ -6,11 +6,12 @@ shares more with its own. The lines of a pair are aligned by their longest
 common subsequence: what both pages say is the site's frame and is deleted,
 what only one says is its text.
 
-Two kinds of lines don't wait for a partner: those inside elements that HTML
-(or a telling class, id or role) marks as menu, header, footer, sidebar,
-notice, advert, form, comment or code are never text; and where a page marks
-its own article (``article`` or ``main``), lines in it are text and the rest is
-frame. Differencing decides all others. Two pages that leave next to nothing of
+Markup breaks ties. Lines inside elements that HTML (or a telling class, id or
+role) marks as menu, header, footer, sidebar, notice, advert, form, comment or
+code are never text. Where a page marks its own article (``article`` or
+``main``), lines outside of it are frame, and a shared line in it is frame if
+the partner marks its article too and has the line outside only: paragraphs
+that two articles repeat are text. Differencing alone decides all others. Two pages that leave next to nothing of
 either unmatched, beside what is marked as frame, are copies of one page and no
 partners: a run of copies takes the nearest pages around the run.
 
@@ -306,7 +307,7 @@ def _hashes(lines: list[tuple[str, bool]]) -> list[int]:
 #: Two pages are copies of one page if each has at most this share of its characters in lines that the other lacks.
 COPY_REST = 0.02
 
-_URLS = "host string, path string, key long, hashes array<long>, sizes array<int>, open boolean"
+_URLS = "host string, path string, key long, hashes array<long>, sizes array<int>, body array<boolean>, open boolean"
 
 
 def _rest(page: dict, held: list[bool]) -> bool:
@@ -330,8 +331,8 @@ def _urls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             lines = page_lines(page or "")
-            rows.append((*url_key(url), _key(url, page), _hashes(lines), [len(x) for x, _ in lines], bool(lines) and not any(body for _, body in lines)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_()))], ["host", "path", "key", "hashes", "sizes", "open"])
+            rows.append((*url_key(url), _key(url, page), _hashes(lines), [len(x) for x, _ in lines], [body for _, body in lines], bool(lines)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.bool_()))], ["host", "path", "key", "hashes", "sizes", "body", "open"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, named: bool) -> Iterator[pa.RecordBatch]:
@@ -363,13 +364,13 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def neighbours(urls: DataFrame) -> DataFrame:
-    """Each row of ``(host, path, key, hashes, sizes, open)`` with ``before`` and ``after``: the next rows in path order that aren't of its run of copies.
+    """Each row of ``(host, path, key, hashes, sizes, body, open)`` with ``before`` and ``after``: the next rows in path order that aren't of its run of copies.
 
     Rows are sorted by ranges over the cluster; what a range needs of the
     ranges around it comes through a table of one row for each range.
     """
     spark = urls.sparkSession
-    me = F.struct("host", "path", "hashes", "sizes").alias("me")
+    me = F.struct("host", "path", "hashes", "sizes", "body").alias("me")
     ranged = urls.repartitionByRange(shuffle_partitions(spark), "host", "path", "key").select("host", "path", "key", "open", me, F.spark_partition_id().alias("part"))
     ranged = stage_table(ranged, "ranges")
     order = ("host", "path", "key")
@@ -391,8 +392,17 @@ def neighbours(urls: DataFrame) -> DataFrame:
     return near.select("key", "open", "me", F.coalesce("started", "prev")["before"].alias("before"), F.coalesce("following", "next").alias("after"))
 
 
+def deleted(me: dict, partner: dict) -> list[bool]:
+    """Which lines of a page (of its article, if it marks one) are frame by its partner."""
+    shared = lcs_mask(me["hashes"], partner["hashes"])
+    if not any(me["body"]):
+        return shared
+    theirs = {h for h, body in zip(partner["hashes"], partner["body"], strict=True) if body}
+    return [s and bool(theirs) and h not in theirs for s, h, body in zip(shared, me["hashes"], me["body"], strict=True) if body]
+
+
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each open page, which of its lines its partner shares; only pages with shared lines."""
+    """Of each page with lines, which of those that may be text its partner makes frame; only pages that have such lines."""
     for batch in batches:
         keys, masks = [], []
         for key, me, *around in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -400,7 +410,7 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for partner in sorted(near, key=lambda x: closeness(me["path"], x["path"]), reverse=True):
                 if copies(me, partner):
                     continue
-                mask = lcs_mask(me["hashes"], partner["hashes"])
+                mask = deleted(me, partner)
                 if any(mask):
                     keys.append(key)
                     masks.append(mask)
@@ -421,11 +431,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     narrow = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     # One page stands for each path in the order, so that its versions don't hide its neighbours.
     urls = stage_table(narrow.mapInArrow(_urls, _URLS), "urls")
-    one = urls.groupBy("host", "path").agg(F.min_by(F.struct("key", "hashes", "sizes"), "key").alias("x"), F.max("open").alias("open"))
-    near = neighbours(one.select("host", "path", "x.key", "x.hashes", "x.sizes", "open"))
+    one = urls.groupBy("host", "path").agg(F.min_by(F.struct("key", "hashes", "sizes", "body"), "key").alias("x"), F.max("open").alias("open"))
+    near = neighbours(one.select("host", "path", "x.key", "x.hashes", "x.sizes", "x.body", "open"))
     open_ = near.where("open").select(F.col("me.host").alias("host"), F.col("me.path").alias("path"), "before", "after")
-    each = urls.where("open").select("host", "path", "key", "hashes", "sizes").join(open_, ["host", "path"])
-    each = each.select("key", F.struct("host", "path", "hashes", "sizes").alias("me"), "before", "after")
+    each = urls.where("open").select("host", "path", "key", "hashes", "sizes", "body").join(open_, ["host", "path"])
+    each = each.select("key", F.struct("host", "path", "hashes", "sizes", "body").alias("me"), "before", "after")
     masks = stage_table(each.mapInArrow(_masks, "key long, mask array<boolean>").dropDuplicates(["key"]), "masks")
     bitmap = spark.sparkContext.broadcast(membership_bitmap(masks, "key"))
     plain = narrow.mapInArrow(lambda batches: _texts(batches, bitmap.value, False), _TEXTS)

@@ -456,3 +456,14 @@ def test_recall_of_unseen_identifiers(spark):
     caught = sum(x in got[k] for k, x in want.items())
     assert len(want) > 80 and caught >= 0.9 * len(want), (caught, len(want), [(rows[k][1], got[k], x) for k, x in want.items() if x not in got[k]][:10])
     assert sum(len(x) for k, x in got.items() if k not in want) == 0
+
+
+def test_marked_pages_are_differenced_too(spark):
+    from partita.llm.html_extract import extract_pages
+
+    pages = [
+        (1, "http://a.example/x/1", "<article><p>first story</p><p>said by both</p><p>read our letter</p></article>"),
+        (2, "http://a.example/x/2", "<article><p>second story</p><p>said by both</p></article><p>read our letter</p>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "first story\nsaid by both", 2: "second story\nsaid by both"}
