@@ -73,28 +73,37 @@ def _family(kind: Column, pairs: list[tuple[int, str, Column]]) -> Column:
     return out
 
 
-def polymer_table(chains: DataFrame, key: str = "o") -> DataFrame:
-    """``polymer_entities`` of each order, from its chains."""
+def polymer() -> Column:
+    """The polymer entity of a chain ``(o, ln, pk, d)``."""
     pk, d = F.col("pk"), F.col("d").cast("string")
     kind = F.when(pk % 9 == 0, "DNA").when(pk % 9 == 1, "RNA").when(pk % 9 == 2, "NA-hybrid").when(pk % 9 == 3, "Other").otherwise("Protein (L)")
     levels = F.create_map(F.lit("90"), (pk % 1000).cast("int"), F.lit("30"), (F.col("d") * 10 + pk % 4).cast("int"))
-    polymer = F.struct(
+    return F.struct(
         F.concat_ws("_", "o", "ln").alias("entity_id"), kind.alias("polymer_type"), F.length(sequence()).cast("int").alias("seq_len"), sequence().alias("seq"),
         F.when(pk % 5 != 0, levels).otherwise(F.map_from_arrays(F.array(), F.array()).cast("map<string,int>")).alias("cluster_ids"),
         F.when(pk % 13 == 0, F.array(F.lit("ZN"))).when(pk % 13 == 1, F.array(F.lit("METAL"), F.lit("NI"))).otherwise(F.array().cast("array<string>")).alias("metal_annotations"),
         _family(pk % 4, [(0, "cath", F.concat_ws(".", d, pk % 3)), (1, "ecod", F.concat_ws(".", (F.col("d") % 40).cast("string"), pk % 2))]).alias("structural_families"),
         _family(pk % 6, [(0, "pfam", F.concat(F.lit("PF"), d, (pk % 2).cast("string")))]).alias("domain_families"),
     )
-    return chains.groupBy(key).agg(F.array_sort(F.collect_list(polymer.alias("p")), lambda a, b: F.when(a["entity_id"] < b["entity_id"], -1).when(a["entity_id"] > b["entity_id"], 1).otherwise(0)).alias("polymer_entities"))
+
+
+def polymer_table(chains: DataFrame) -> DataFrame:
+    """``polymer_entities`` of each order, from its chains."""
+    return chains.groupBy("o").agg(F.array_sort(F.collect_list(polymer().alias("p")), lambda a, b: F.when(a["entity_id"] < b["entity_id"], -1).when(a["entity_id"] > b["entity_id"], 1).otherwise(0)).alias("polymer_entities"))
 
 
 def chain_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``entry_id`` and ``polymer_entities`` of all orders: what clustering reads of an entry. Lines are dealt by the order's identifier, once."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("string").alias("entry_id"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"))
-    lines = lines.repartition("entry_id").groupBy("entry_id", "o", "ln").agg(F.min("pk").alias("pk")).withColumn("d", F.floor(F.col("o") / 10))
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("entry_id"))
-    joined = orders.join(polymer_table(lines, "entry_id"), "entry_id", "left")
-    return joined.select("entry_id", F.coalesce("polymer_entities", F.array().cast(joined.schema["polymer_entities"].dataType)).alias("polymer_entities"))
+    """``entry_id`` and ``polymer_entities`` (in no order) of all orders: what clustering reads of an entry.
+
+    Orders and lines are dealt once, by tens of orders, which share clusters and sequences.
+    """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"), F.lit(False).alias("order"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("o"), F.lit(None).cast("int").alias("ln"), F.lit(None).cast("long").alias("pk"), F.lit(True).alias("order"))
+    ten = F.floor(F.col("o") / 10)
+    dealt = lines.unionByName(orders).where("o is not null").repartition(ten).withColumn("d", ten)
+    dealt = dealt.groupBy("d", "o", "ln", "order").agg(F.min("pk").alias("pk"))
+    found = dealt.groupBy("d", "o").agg(F.collect_list(F.when(~F.col("order"), polymer())).alias("polymer_entities"), F.bool_or("order").alias("order"))
+    return found.where("order").select(F.col("o").cast("string").alias("entry_id"), "polymer_entities")
 
 
 def entry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,8 +298,7 @@ def entry_sequence_groups(spark, sf_dir):
 
 @query(f"{_ALL}, {_MERGED} SELECT entry_id, co.component, sc.component AS sequence_component FROM co JOIN sc USING (entry_id)")
 def entry_clusters(spark, sf_dir):
-    found = clusters.cluster_entries(chain_table(spark, sf_dir), CFG)
-    return found.components.join(found.sequence_components.withColumnRenamed("component", "sequence_component"), "entry_id")
+    return clusters.cluster_entries(chain_table(spark, sf_dir), CFG).both_components
 
 
 @query(f"{_ALL} SELECT entry_id, family FROM fb")

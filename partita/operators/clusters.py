@@ -12,26 +12,37 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partita.config import STRUCTURAL, Config
 from partita.functions.hashing import content_key
 from partita.functions.text import modeled_length
+from partita.operators import contraction
 from partita.operators.filters import is_protein
 from partita.operators.graph import connected_components
 
 #: Known residues that a chain outside of all clusters needs to merge an entry that has clusters.
 MIN_MERGE_LENGTH = 12
+#: Before the content of a chain.
+SINGLETON = "singleton:"
 
 
 def chains(entries: DataFrame, cfg: Config) -> DataFrame:
-    """A row for each protein chain: entry, chain, its cluster at the level, its content key and known length."""
-    rows = entries.select("entry_id", F.explode(F.filter("polymer_entities", is_protein)).alias("e"))
+    """A row for each protein chain: entry, chain, its cluster at the level, its content key and known length.
+
+    ``entries`` has a row for each entry; ``has_cluster`` and ``has_known`` say
+    whether any of its chains has a cluster, and known residues.
+    """
+    level = F.lit(str(cfg.identity_level))
+    has_cluster = F.exists("proteins", lambda e: F.try_element_at(e["cluster_ids"], level).isNotNull())
+    has_known = F.exists("proteins", lambda e: modeled_length(F.coalesce(e["seq"], F.lit("")), both_cases=False) > 0)
+    rows = entries.select("entry_id", F.filter("polymer_entities", is_protein).alias("proteins"))
+    rows = rows.select("entry_id", F.coalesce(has_cluster, F.lit(False)).alias("has_cluster"), F.coalesce(has_known, F.lit(False)).alias("has_known"), F.explode("proteins").alias("e"))
     seq = F.coalesce(F.col("e.seq"), F.lit(""))
     return rows.select(
-        "entry_id", F.col("e.entity_id").alias("chain"), F.try_element_at("e.cluster_ids", F.lit(str(cfg.identity_level))).alias("cluster_id"),
-        content_key("singleton:", seq, cfg.hash_name).alias("content"), modeled_length(seq, both_cases=False).alias("known"), seq.alias("seq"),
+        "entry_id", F.col("e.entity_id").alias("chain"), "has_cluster", "has_known", F.try_element_at("e.cluster_ids", level).alias("cluster_id"),
+        content_key(SINGLETON, seq, cfg.hash_name).alias("content"), modeled_length(seq, both_cases=False).alias("known"), seq.alias("seq"),
         F.col("e.structural_families").alias("structural"), F.col("e.domain_families").alias("domains"),
     )
 
@@ -42,12 +53,30 @@ def chain_keys(chain: DataFrame) -> DataFrame:
     Chains outside of clusters always key an entry that has nothing else: by
     those with known residues, or by all of them if none has any.
     """
-    entry = Window.partitionBy("entry_id")
     least = chain.where("cluster_id is not null").groupBy("cluster_id").agg(F.min("chain").alias("raw_key"))
     out = chain.join(least, "cluster_id", "left")
-    out = out.withColumn("has_cluster", F.bool_or(F.col("cluster_id").isNotNull()).over(entry)).withColumn("has_known", F.bool_or(F.col("known") > 0).over(entry))
-    loose = F.when(F.col("has_cluster"), F.col("known") >= MIN_MERGE_LENGTH).otherwise((F.col("known") > 0) | ~F.col("has_known"))
-    return out.withColumn("bridge", F.when(F.col("raw_key").isNotNull(), F.col("raw_key")).when(loose, F.col("content")))
+    return out.withColumn("bridge", F.when(F.col("raw_key").isNotNull(), F.col("raw_key")).when(_loose(), F.col("content")))
+
+
+def _loose() -> Column:
+    """Whether the content of a chain outside of all clusters keys its entry."""
+    return F.when(F.col("has_cluster"), F.col("known") >= MIN_MERGE_LENGTH).otherwise((F.col("known") > 0) | ~F.col("has_known"))
+
+
+def links(chain: DataFrame, authorities: tuple[str, ...]) -> DataFrame:
+    """``(entry_id, key, name, family)`` for :func:`contraction.contracted`: the chains' clusters and contents as keys, and their families.
+
+    A cluster counts by the names of its chains: the smallest name in a
+    component is its smallest key, as all chains of a cluster are in one.
+    """
+    clustered = F.col("cluster_id").isNotNull() & F.col("chain").isNotNull()
+    cluster = F.when(clustered, F.encode(F.concat(F.lit("c"), F.col("cluster_id").cast("string")), "utf-8"))
+    content = F.when(F.when(clustered, F.col("known") >= MIN_MERGE_LENGTH).otherwise(_loose()), F.unhex(F.substring("content", len(SINGLETON) + 1, 64)))
+    no = F.lit(None)
+    row = lambda key, name, family: F.struct(key.cast("binary").alias("key"), name.cast("string").alias("name"), family.cast("string").alias("family"))
+    keys = F.array(row(cluster, F.col("chain"), no), row(content, F.col("content"), no))
+    told = F.concat(keys, F.transform(families(F.col("structural"), F.col("domains"), authorities), lambda f: row(no, no, f))) if authorities else keys
+    return chain.select("entry_id", F.inline(told)).where("key is not null or family is not null")
 
 
 def entry_keys(keyed: DataFrame) -> DataFrame:
@@ -156,9 +185,23 @@ class Clustering:
     def keys(self) -> DataFrame:
         return entry_keys(self.keyed)
 
+    @cached_property
+    def both_components(self) -> DataFrame:
+        """``(entry_id, component, sequence_component)``; the second one by keys alone."""
+        merged = self.cfg.merge_authorities
+        rows = contraction.contracted(links(chains(self.entries, self.cfg), merged), [""] if merged else [])
+        shared = contraction.shared_keys(rows)
+        out = contraction.named(rows.where("entry_id is not null"), contraction.labels_across(shared, None, "root_0"), "root_0", "sequence_component")
+        if merged:
+            by_family = rows.where("family is not null").select("family", "root_1")
+            out = contraction.named(out, contraction.labels_across(shared, by_family, "root_1"), "root_1", "component")
+        else:
+            out = out.withColumn("component", F.col("sequence_component"))
+        return out.select("entry_id", "component", "sequence_component").distinct()
+
     @cached_property
     def components(self) -> DataFrame:
-        return components_of(self.keys, self.families) if self.families is not None else self.sequence_components
+        return self.both_components.select("entry_id", "component")
 
     @cached_property
     def flags(self) -> DataFrame:
@@ -181,7 +224,7 @@ class Clustering:
 
     @cached_property
     def sequence_components(self) -> DataFrame:
-        return components_of(self.keys)
+        return self.both_components.select("entry_id", F.col("sequence_component").alias("component"))
 
 
 def cluster_entries(entries: DataFrame, cfg: Config) -> Clustering:
