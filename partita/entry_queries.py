@@ -586,7 +586,8 @@ def _sweep_sql(method: str) -> str:
   cn AS (SELECT 'cath' AS method, count(DISTINCT component) AS components FROM wcath UNION ALL SELECT 'ecod', count(DISTINCT component) FROM wecod UNION ALL SELECT 'pfam', count(DISTINCT component) FROM wpfam)
   SELECT method, (SELECT count(DISTINCT entry_id) FROM fk WHERE family LIKE method || ':%') AS covered, components, (SELECT n FROM base) - components AS folded, (SELECT count(*) FROM br WHERE n > 1 AND family LIKE method || ':%') AS bridging FROM cn""")
 def entry_authority_sweep(spark, sf_dir):
-    return audit.authority_sweep(_labels(spark, sf_dir), clusters.entry_keys(_keyed(spark, sf_dir)), ["cath", "ecod", "pfam"])
+    chain = clusters.chains(chain_table(spark, sf_dir), CFG)
+    return audit.authority_sweep(clusters.links(chain, CFG.merge_authorities), ["cath", "ecod", "pfam"])
 
 
 @query(f"""{_FLAT}, e AS (SELECT entity_id, upper(seq) AS t, greatest({_RUN.format("substr(seq, 1, 20)")}, {_RUN.format("right(seq, 20)")}) AS edge FROM pe),

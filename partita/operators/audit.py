@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.functions.text import longest_run
-from partita.session import stage_table
+from partita.operators.contraction import contracted, labels_across, named, shared_keys, spanning
 
 
 def list_sizes(lists: DataFrame) -> DataFrame:
@@ -161,23 +161,30 @@ def gap_projection(entries: DataFrame, classified: DataFrame, suspect: Column, s
     return counted.withColumn("rate", rate).withColumn("projected", F.col("rate") * F.col("suspects"))
 
 
-def authority_sweep(keyed_families: DataFrame, keys: DataFrame, methods: list[str]) -> DataFrame:
+def authority_sweep(links: DataFrame, methods: list[str]) -> DataFrame:
     """``(method, covered, components, folded, bridging)``: components by sequences and each authority alone.
 
-    ``keyed_families`` is ``(entry_id, method, family, raw_key)``, ``keys`` is
-    ``(entry_id, raw_key)``. ``folded`` is how many components the authority's
-    families save, ``bridging`` how many families span several components of
-    sequences alone. One clustering for each method, none of them on the driver.
+    ``links`` is as for :func:`contraction.contracted`, an entry once, with
+    families named ``method:family``. ``folded`` is how many components the
+    authority's families save, ``bridging`` how many families span several
+    components of sequences alone. Entries are read once for all methods: only
+    components of parts meet again, and the driver gets counts.
     """
-    from partita.operators.clusters import bridging_families, components_of
-
-    alone = stage_table(components_of(keys), "sequence_components")
-    base = alone.agg(F.countDistinct("component").alias("base"))
-    out = None
-    for method in methods:
-        mine = keyed_families.where(F.col("method") == method).select("entry_id", "family", "raw_key")
-        merged = components_of(keys, mine).agg(F.countDistinct("component").alias("components"))
-        told = mine.agg(F.countDistinct("entry_id").alias("covered")).crossJoin(merged).crossJoin(base).crossJoin(bridging_families(mine, alone).agg(F.count("*").alias("bridging")))
-        row = told.select(F.lit(method).alias("method"), "covered", "components", (F.col("base") - F.col("components")).alias("folded"), "bridging")
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = contracted(links, [f"{m}:" for m in methods])
+    entries, held = rows.where("entry_id is not null"), rows.where("family is not null")
+    shared = shared_keys(rows)
+
+    def count(labels: DataFrame, node: str) -> int:
+        return named(entries.select(node).distinct(), labels, node, "component").agg(F.countDistinct("component")).first()[0]
+
+    alone = labels_across(shared, None, "root_0")
+    base = count(alone, "root_0")
+    covered = entries.agg(*[F.count_if(f"held_{s}") for s in range(1, len(methods) + 1)]).first()
+    spans = spanning(named(held.select("family", "root_0"), alone, "root_0", "component"), "family", "component")
+    bridging = spans.agg(*[F.count_if(F.startswith("family", F.lit(f"{m}:"))) for m in methods]).first()
+    told = []
+    for s, method in enumerate(methods, 1):
+        mine = held.where(F.startswith("family", F.lit(f"{method}:"))).select("family", f"root_{s}")
+        n = count(labels_across(shared, mine, f"root_{s}"), f"root_{s}")
+        told.append((method, covered[s - 1], n, base - n, bridging[s - 1]))
+    return rows.sparkSession.createDataFrame(told, "method string, covered long, components long, folded long, bridging long")

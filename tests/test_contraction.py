@@ -7,7 +7,7 @@ import pytest
 from helpers import chain, config, entry, table
 from pyspark.sql import functions as F
 
-from partita.operators import clusters, contraction
+from partita.operators import audit, clusters, contraction
 from partita.operators.clusters import MIN_MERGE_LENGTH, cluster_entries
 
 SEQ = "ACDEFGHIKLMNPQRSTVWY"
@@ -100,3 +100,17 @@ def test_what_lies_together_leaves_no_edges(spark, monkeypatch):
     entries = [entry(f"E{k:02}", [chain(f"E{k:02}_1", f"{SEQ}{k}", k // 10)]) for k in range(40)]
     whole = table(spark, entries).coalesce(1)
     assert cluster_entries(whole, config()).components.select("component").distinct().count() == 4 and seen == [0]
+
+
+def test_sweep_by_parts(spark, blocks):
+    entries, cfg, methods = some_entries(), config(structural_clustering="all"), ["cath", "ecod", "pfam"]
+    alone, families = by_hand(entries, ())
+    want = []
+    for m in methods:
+        merged, spans = by_hand(entries, (m,))[0], {}
+        for name, f in families[m]:
+            spans.setdefault(f, set()).add(alone[name])
+        n, base = len(set(merged.values())), len(set(alone.values()))
+        want.append((m, len({name for name, _ in families[m]}), n, base - n, sum(len(x) > 1 for x in spans.values())))
+    links = clusters.links(clusters.chains(table(spark, entries).repartition(3, "entry_id"), cfg), cfg.merge_authorities)
+    assert sorted(tuple(r) for r in audit.authority_sweep(links, methods).collect()) == want
