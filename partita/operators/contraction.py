@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from partita.operators.graph import connected_components
 from partita.session import stage_table
 
-#: Rows that a task joins at once (some 150 MB); an entry's rows stay together.
+#: Rows that a task joins at once; an entry's rows stay together.
 BLOCK_ROWS = 1_000_000
 
 
